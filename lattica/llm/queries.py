@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import fingerprint, ngram_join, quality, topk
+from lattica.llm import bpe, fingerprint, language, mixing, ngram_join, pseudo_likelihood, quality, substring, topk, toxicity
 from lattica.llm.common import table
 
 
@@ -26,5 +27,33 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_top_k, op4_ngram_join)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest language always; `rejected` says whether the text is too far from it."""
+    return language.identify(table(spark, sf_dir, "documents"), reject=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_fingerprints, op2_quality, op3_top_k, op4_ngram_join, op5_toxicity, op6_pseudo_likelihood, op7_mixing, op8_substring_dedup, op9_bpe, op10_language)
+}
 ORACLE_SQL: dict[str, str] = {"op3_top_k": topk.ORACLE}
