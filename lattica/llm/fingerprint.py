@@ -32,7 +32,9 @@ BASE_CELLS = 8
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 SALTS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 CHECK = U64(0x27D4EB2F165667C5)
-ROWS = 512
+ROWS = 256
+#: Cells worked on at once.
+CELLS = 100_000
 
 
 def paragraphs(text: str) -> list[str]:
@@ -46,14 +48,19 @@ def paragraphs(text: str) -> list[str]:
 
 
 def digests(text: str) -> np.ndarray:
-    """One 64-bit digest per paragraph occurrence."""
+    """One 64-bit digest per paragraph occurrence, each digest once.
+
+    The number of the occurrence is mixed in after hashing: as a seed of the hash it can cancel against short texts.
+    """
     seen: dict[str, int] = {}
-    out = []
+    hashes, repeat = [], []
     for p in paragraphs(text):
         k = seen.get(p, 0)
         seen[p] = k + 1
-        out.append(xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"), k))
-    return np.array(out, dtype=U64)
+        hashes.append(xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")))
+        repeat.append(k)
+    with np.errstate(over="ignore"):
+        return np.unique(mix(np.array(hashes, dtype=U64) + np.array(repeat, dtype=U64) * SALTS[0]))
 
 
 class Cells:
@@ -153,7 +160,7 @@ def compare(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, list[
     todo = np.arange(n)
     while len(todo):
         size = int(sub[todo].min())
-        now = todo[sub[todo] == size]
+        now = todo[sub[todo] == size][: max(1, CELLS // (3 * size))]
         cells = Cells(len(now), size)
         cells.add(*flat([a[i] for i in now]), 1)
         cells.add(*flat([b[i] for i in now]), -1)
@@ -204,7 +211,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by (range, borrowed, id, text); a range's own rows are followed by the head of the next range."""
     held: list[tuple[int | None, str]] = []
     at, closed = None, False
-    for batch in batches:
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         for r, borrowed, i, t in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             if r != at:
                 at, held, closed = r, [], False
