@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from lattica.errors import LoadError
 from lattica.plans.tree import DOUBLE, LONG, STRING
-from lattica.sources.metadata import merge_schemas
+from lattica.sources.metadata import merge_schemas, table_fields
 from lattica.sources.schema import DEFAULT, SPARK_TYPE, normal, normal_type, value_type
 
 FORMATS = ("json", "csv", "parquet")
@@ -30,6 +30,7 @@ def _checked(types: Mapping[str, str]) -> dict[str, str]:
 
 def normalise(df: DataFrame) -> DataFrame:
     """All fields in value types with defaults for what is missing."""
+    table_fields(df.schema)  # raises for what has no value type
     return df.select(*[normal(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
@@ -133,13 +134,7 @@ def info(spark: SparkSession, path: str) -> dict[str, object]:
     """Rows, files and comment of a written table; only the footers are read."""
     df = spark.read.parquet(path)
     comment = next((f.metadata["comment"] for f in df.schema.fields if "comment" in f.metadata), "")
-    return {"rows": df.count(), "files": len(df.inputFiles()), "comment": comment, "fields": [tuple(vars(f).values()) for f in _fields(df)]}
-
-
-def _fields(df: DataFrame):
-    from lattica.sources.metadata import table_fields
-
-    return table_fields(df.schema)
+    return {"rows": df.count(), "files": len(df.inputFiles()), "comment": comment, "fields": [tuple(vars(f).values()) for f in table_fields(df.schema)]}
 
 
 def convert(spark: SparkSession, kind: str, source: str | Sequence[str], target: str, types: Mapping[str, str] | None = None, default_type: str = STRING, comment: str = "") -> None:

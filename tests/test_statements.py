@@ -145,11 +145,13 @@ def test_missing_values_are_defaults_in_filters_too(engine, spark):
 
 
 def test_filters_and_columns_reach_the_files(engine, spark, tmp_path):
-    spark.createDataFrame([(1, 2, [(1, 2)])], "a int, b long, c array<struct<x:long,y:long>>").write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([(1, 2, [(1, 2, "3")])], "a int, b long, c array<struct<x:long,y:long,z:string>>").write.parquet(str(tmp_path / "p"))
     engine.catalog.register("p", spark.read.parquet(str(tmp_path / "p")))
-    plan = engine.sql("select sum(c[*].x) from p where a > 0 and b = 2")._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(a,0)" in plan and "EqualTo(b,2)" in plan
-    assert "ReadSchema: struct<a:int,b:bigint,c:array<struct<x:bigint>>>" in plan
+    plan = lambda text: engine.sql(text)._jdf.queryExecution().executedPlan().toString()
+    found = plan("select sum(c[*].x) from p where a > 0 and b = 2")
+    assert "GreaterThan(a,0)" in found and "EqualTo(b,2)" in found
+    assert "ReadSchema: struct<a:int,b:bigint,c:array<struct<x:bigint>>>" in found
+    assert "ReadSchema: struct<c:array<struct<x:bigint,z:string>>>" in plan("select sum(add(c[*].x, long(c[*].z))) from p")
 
 
 def test_flatten(engine, spark):
