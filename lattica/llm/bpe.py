@@ -108,7 +108,7 @@ class Bpe:
         none = int(NONE)
         leaf = lambda a, b, i: r << PLACE | i if (r := ranks.get(a << 32 | b)) is not None else none
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        tree = Tree([leaf(symbols[i], symbols[i + 1], i) for i in range(n - 1)])
+        tree = Tree([*(leaf(symbols[i], symbols[i + 1], i) for i in range(n - 1)), none])
         while (root := tree.nodes[1]) != none:
             i = root & ((1 << PLACE) - 1)
             symbols[i] = int(self.made[root >> PLACE])
