@@ -68,6 +68,8 @@ def runs(text: bytes, ends: np.ndarray, repeated: np.ndarray, min_words: int = M
         if j < len(text) and not WORD_START.match(text, j) and not WORD_START.match(text, j - 1):  # end before it
             while j > i and not WORD_START.match(text, j - 1):
                 j -= 1
+        if 0 < i < j < len(text) and not WORD_START.match(text, i - 1) and not WORD_START.match(text, j):
+            j -= 1  # the blank between the words on both sides stays
         if j > i and len(WORD.findall(text, i, j)) >= min_words:
             out.append((i, j, a))
     return out
