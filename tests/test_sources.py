@@ -118,7 +118,7 @@ def test_bad_descriptors(text):
 def test_slices():
     s = Slice((("a", (1, 2)), ("b.c", ("x'y",)), ("e", ())), "d > 1.")
     text = slice_text("select a, count() where z = 0 group by a order by count() limit 3", "t", s)
-    assert text == "select a, count() from t where (z = 0) and (((a = 1) or (a = 2)) and (b.c = 'x\\'y')) and (d > 1.0)" + " group by a order by count() asc limit 3" or parse(text).source.table == "t"
+    assert text == "select a, count() from t where (z = 0) and ((((a = 1) or (a = 2)) and (b.c = 'x\\'y')) and (d > 1.0)) group by a order by count() asc limit 3"
     assert parse(slice_text("select a", "t", Slice())).where is None
     with pytest.raises(ValueError, match="FROM"):
         slice_text("select a from t", "t", s)
