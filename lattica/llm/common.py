@@ -32,15 +32,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lattica_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: all that was built on them is staged itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._lattica_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_broadcast(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
-    """Hint a broadcast of an id table whose counted rows are few; beyond ``limit`` the join shuffles."""
+def bounded_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
+    """Hint a broadcast of an id table whose counted rows are few (some 40 MB); beyond ``limit`` the join shuffles."""
     return F.broadcast(df) if rows <= limit else df
 
 

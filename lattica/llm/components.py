@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stage
-
-
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.distinct()
+from lattica.llm.common import stage, unstage
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -26,17 +22,24 @@ def _small(e: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("x", F.col("m").alias("y")))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Has every node one edge down, and no node edges both up and down."""
+    up = e.groupBy("x").agg(F.count("*").alias("k"))
+    if not up.where("k > 1").isEmpty():
+        return False
+    return e.join(up.select(F.col("x").alias("y")), "y", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge to another: the root is the least node of its component.
 
     ``edges``: columns x, y of one integer type, in any order, with repeats or loops. The rounds are logarithmic in
-    the longest path; each is written to the shared folder, and only a count and a checksum come to the driver.
+    the longest path; each is written to the shared folder, and only whether it is done comes to the driver.
     """
     e = edges.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-    e, before = stage(_pairs(e), "edges"), None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first()
-        if now == before or not now[0]:
-            return e.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(e.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
-        before = now
-        e = stage(_pairs(_small(_pairs(_large(e)))), "edges")
+    e = stage(e.distinct(), "edges")
+    while not _stars(e):
+        last = e
+        e = stage(_small(_large(e).distinct()).distinct(), "edges")
+        unstage(last)
+    return e.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(e.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())

@@ -11,8 +11,10 @@ So that a large group of near copies does not make all its pairs, the product is
    documents) and the links are closed to components;
 2. a class enters the product with its smallest hashes (a prefix that must hold at least a quarter of the required
    overlap), and only columns that occur in two different components count. A class of which too few entries are
-   left cannot link to another component and is dropped;
-3. the surviving pairs between components are counted, bounded, verified, and closed again.
+   left cannot link to another component and is dropped; the others enter with all their columns, with the bound
+   that their size sets;
+3. classes that share one of their rare columns meet in tiles of bounded size; a tile takes the product, adding up
+   overlaps column by column, and puts out only links that join two components; these are closed again.
 
 Step 2 and 3 miss no link between components, and links within a component do not change it, so the result is exact
 whatever step 1 finds.
@@ -29,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import U64, bounded_broadcast, mix, parallelism, stage, starts_of, texts_of
+from lattica.llm.common import U64, bounded_broadcast, mix, parallelism, stage, starts_of, texts_of, unstage
 from lattica.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -40,6 +42,8 @@ WORDS, PERCENT = 5, 75
 BANDS = 6
 #: Documents handled at once, entries sent at once, words whose hash is kept.
 ROWS, ENTRIES, KEPT_WORDS = 256, 1_000_000, 300_000
+#: Classes of a block in the product, about.
+TILE = 512
 _MULTIPLY = (mix(np.arange(1, 65, dtype=U64)) | U64(1))
 PROFILE = "doc_id long, n_shingles long, class_a long, class_b long, bands array<long>"
 
@@ -170,18 +174,20 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("leader", "salt", "follows", "doc_id", "class", "text").mapInArrow(_verify, "x long, y long")
 
 
+def _packed(hashes: list[np.ndarray], owners: list[np.ndarray], blocks: int) -> pa.RecordBatch:
+    """Entries (column, class) as one row per column block."""
+    h, c = np.concatenate(hashes), np.concatenate(owners)
+    block = (h % U64(blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    h, c, block = h[order], c[order], block[order]
+    there, at = np.unique(block, return_index=True)
+    ends = np.append(at[1:], len(h))
+    return pa.RecordBatch.from_pydict({"block": pa.array(there, pa.int64()), "columns": [h[i:j].tobytes() for i, j in zip(at, ends, strict=True)], "classes": [c[i:j].tobytes() for i, j in zip(at, ends, strict=True)]})
+
+
 def _prefixes(blocks: int):
     """Documents to entries of the incidence matrix, packed by column block; a batch sends an entry once."""
 
-    def out(hashes: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-        h, c = np.concatenate(hashes), np.concatenate(owners)
-        block = (h % U64(blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        h, c, block = h[order], c[order], block[order]
-        there, at = np.unique(block, return_index=True)
-        ends = np.append(at[1:], len(h))
-        return pa.RecordBatch.from_pydict({"block": pa.array(there, pa.int64()), "columns": [h[i:j].tobytes() for i, j in zip(at, ends, strict=True)], "classes": [c[i:j].tobytes() for i, j in zip(at, ends, strict=True)]})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
         owners: list[np.ndarray] = []
@@ -198,11 +204,11 @@ def _prefixes(blocks: int):
                 owners.append(np.full(len(cut), own[0], dtype=np.int64))
                 held += len(cut)
             if held >= ENTRIES:
-                yield out(hashes, owners)
+                yield _packed(hashes, owners, blocks)
                 hashes, owners, held = [], [], 0
                 seen.clear()
         if held:
-            yield out(hashes, owners)
+            yield _packed(hashes, owners, blocks)
 
     return run
 
@@ -236,27 +242,143 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
+def _entire(blocks: int):
+    """(class_a, text) to all entries of the class, packed by column block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        held = 0
+        for batch in _chunks(batches):
+            for own, s in zip(batch.column(0).to_pylist(), shingle_sets(texts_of(batch.column(1))), strict=True):
+                if class_of(s)[0] == own:
+                    hashes.append(s)
+                    owners.append(np.full(len(s), own, dtype=np.int64))
+                    held += len(s)
+            if held >= ENTRIES:
+                yield _packed(hashes, owners, blocks)
+                hashes, owners, held = [], [], 0
+        if held:
+            yield _packed(hashes, owners, blocks)
+
+    return run
+
+
+def _across(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """The entries (column, class_a) with their class, of columns that occur in two components, and how often (df)."""
+    rows = entries.join(classes.select("class_a", "rep", "n", "component"), "class_a").select("column", "rep", "n", "component")
+    ends = rows.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df"))
+    return rows.join(ends.where("lo < hi").select("column", "df"), "column")
+
+
 def _between(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes in different components whose prefix overlap reaches its bound: a, class_a, b, class_b.
+    """Links between classes of different components, enough to join all that are linked: x, y.
 
-    ``classes``: rep, n, class_a, component.
+    ``classes``: rep, n, class_a, component. First all classes meet by their prefixes, and a class of which fewer
+    entries are shared with other components than the least prefix overlap is out. The others meet by all their
+    entries; one that shares fewer than the overlap any partner needs is out. Of the rest, linked pairs share one of
+    the entries that come first when rare columns go first; classes that hang together by such columns meet in tiles
+    of two blocks, where the product is taken and only links come out.
     """
     spark = docs.sparkSession
     n = parallelism(spark)
-    blocks = docs.select("text").mapInArrow(_prefixes(4 * n), "block long, columns binary, classes binary")
-    entries = blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_shared, "column long, class_a long")
-    entries = entries.join(classes.select("class_a", "rep", "n", "component"), "class_a")
-    ends = entries.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    entries = stage(entries.join(ends.select("column"), "column"), "shared-columns")
-    # the least of the two quarter overlaps that a class can meet is that of a partner of 0.75 times its size
-    enough = entries.groupBy("rep", "class_a", "n").count().where(F.col("count") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / 4)))
-    entries = stage(entries.join(enough.select("rep", "class_a"), ["rep", "class_a"], "left_semi"), "entries")
-    a = entries.select("column", F.col("rep").alias("a"), F.col("class_a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = entries.select("column", F.col("rep").alias("b"), F.col("class_a").alias("class_b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = a.join(b, "column").where((F.col("ca") < F.col("cb")) & sizes_fit(F.col("na"), F.col("nb")))
-    counted = pairs.groupBy("a", "class_a", "na", "b", "class_b", "nb").count()
-    least = F.greatest(F.lit(1), F.floor(F.least("na", "nb") / 4))
-    return stage(counted.where(F.col("count") >= least).select("a", "class_a", "b", "class_b"), "candidates")
+    packed, entry = "block long, columns binary, classes binary", "column long, class_a long"
+    meet = lambda rows: rows.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_shared, entry)
+    first = stage(meet(docs.select("text").mapInArrow(_prefixes(4 * n), packed)), "entries")
+    # a partner of the least size has the least quarter overlap
+    some = F.col("count") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / 4))
+    alive = stage(classes.join(_across(first, classes).groupBy("rep", "n").count().where(some).select("rep"), "rep"), "alive")
+    unstage(first)
+    ids = bounded_broadcast(alive.select(F.col("rep").alias("doc_id"), "class_a"), alive.count())
+    texts = _rows(docs).where(F.col("doc_id").isNotNull()).join(ids, "doc_id").select("class_a", "text").dropDuplicates(["class_a"])
+    every = stage(meet(texts.mapInArrow(_entire(4 * n), packed)), "entries")
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    for again in (False, True):  # classes that are out may leave columns to one component
+        last = [alive, shared] if again else [alive]
+        shared = stage(_across(every, alive), "shared")
+        enough = shared.groupBy("rep", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("rep", "shared")
+        alive = stage(alive.select("rep", "n", "class_a", "component").join(enough, "rep"), "alive")
+        unstage(*last)
+    unstage(every)
+    rare = Window.partitionBy("rep").orderBy("df", "column")
+    kept = shared.join(alive.select("rep", "class_a", "shared"), "rep").withColumn("place", F.row_number().over(rare))
+    kept = stage(kept.where(F.col("place") <= F.col("shared") - least + 1).select("column", "rep"), "rare")
+    # classes that share a rare column, directly or by others, meet in tiles
+    ends = kept.groupBy("column").agg(F.min("rep").alias("y"), F.count("*").alias("k")).where("k > 1").select("column", "y")
+    meeting = stage(components(kept.join(ends, "column").select(F.col("rep").alias("x"), "y")), "meeting")
+    sizes = meeting.groupBy("root").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    rows = shared.join(meeting.withColumnRenamed("node", "rep"), "rep").groupBy("root", "rep", "n", "component").agg(F.collect_list("column").alias("columns"))
+    rows = rows.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    # block i meets the blocks j >= i: it stands on the left of (i, j) and on the right of (j, i)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    tiles = rows.withColumn("other", other).select(
+        "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n", "component", "columns"
+    )
+    out = stage(tiles.groupBy("root", "low", "high").applyInArrow(_tile, "x long, y long"), "links")
+    unstage(shared, alive, kept, meeting)
+    return out
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of all pairs of sets: rare columns pair by pair, frequent ones as dense products by blocks."""
+    owner = np.concatenate([np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)])
+    side = np.repeat([0, 1], [sum(map(len, left)), sum(map(len, right))])
+    column = np.unique(np.concatenate([*left, *right]), return_inverse=True)[1]
+    order = np.lexsort((owner, side, column))
+    column, owner, side = column[order], owner[order], side[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    n = int(column[-1]) + 1 if len(column) else 0
+    of = [np.bincount(column[side == s], minlength=n) for s in (0, 1)]
+    both = of[0] * of[1]
+    rows = [(column[side == s], owner[side == s]) for s in (0, 1)]
+    rare = (both > 0) & (both <= 64)
+    # every entry on the left with all entries on the right of its column
+    at = starts_of(of[1])
+    c, i = (x[rare[rows[0][0]]] for x in rows[0])
+    many = of[1][c]
+    j = np.repeat(at[c] - starts_of(many)[:-1], many) + np.arange(int(many.sum()))
+    np.add.at(out, (np.repeat(i, many), rows[1][1][j]), 1)
+    dense = np.flatnonzero(both > 64)
+    place = np.full(n, -1)
+    place[dense] = np.arange(len(dense))
+    for k in range(0, len(dense), 2048):
+        a, b = (np.zeros((m, 2048), dtype=np.float32) for m in out.shape)
+        for matrix, (c, i) in ((a, rows[0]), (b, rows[1])):
+            p = place[c]
+            keep = (p >= k) & (p < k + 2048)
+            matrix[i[keep], p[keep] - k] = 1
+        out += a @ b.T
+    return out.astype(np.int64)
+
+
+def _tile(key, table):  # Spark tells grouped functions apart by their hints
+    """Links between the classes of two blocks of one meeting, as few as join what they join.
+
+    Sizes bound the overlap that a pair needs; pairs of one component are not asked for, nor are pairs that links
+    found before have joined.
+    """
+    low, high = key[1].as_py(), key[2].as_py()
+    block, rep, n, component = (table.column(c).to_numpy() for c in ("block", "rep", "n", "component"))
+    sets = [x.values.to_numpy() for x in table.column("columns")]
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    both = overlaps([sets[i] for i in left], [sets[i] for i in right])
+    a, b = n[left][:, None], n[right][None, :]
+    good = (both * 100 >= PERCENT * (a + b - both)) & (component[left][:, None] != component[right][None, :])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    x, y = [], []
+    for i, j in zip(*np.nonzero(good), strict=True):
+        p, q = find(int(component[left[i]])), find(int(component[right[j]]))
+        if p != q:
+            root[p] = q
+            x.append(int(rep[left[i]]))
+            y.append(int(rep[right[j]]))
+    return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
 
 def _stars(classes: DataFrame) -> DataFrame:
@@ -265,7 +387,9 @@ def _stars(classes: DataFrame) -> DataFrame:
     lead = keyed.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("rep", "band").alias("o"), "rep", "n", "class_a")).alias("l"), F.count("*").alias("k"))
     lead = stage(lead.where("k > 1").select("band", "key", F.col("l.rep").alias("a"), F.col("l.n").alias("na"), F.col("l.class_a").alias("lead_class")), "leaders")
     met = keyed.join(lead, ["band", "key"]).where((F.col("a") != F.col("rep")) & sizes_fit(F.col("n"), F.col("na")))
-    return stage(met.select("a", F.col("lead_class").alias("class_a"), F.col("rep").alias("b"), F.col("class_a").alias("class_b")).distinct(), "stars")
+    out = stage(met.select("a", F.col("lead_class").alias("class_a"), F.col("rep").alias("b"), F.col("class_a").alias("class_b")).distinct(), "stars")
+    unstage(lead)
+    return out
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -274,17 +398,23 @@ def link_documents(docs: DataFrame) -> DataFrame:
     full = profile.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = full.groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     classes = stage(classes, "classes")
-    known = stage(verify(docs, _stars(classes)), "links")
+    stars = _stars(classes)
+    known = stage(verify(docs, stars), "links")
+    unstage(stars)
     # documents that have several texts tie their classes together
     several = full.groupBy("doc_id").agg(F.min("class_a").alias("lo"), F.max("class_a").alias("hi")).where("lo <> hi").select("doc_id")
     rep_of = full.join(several, "doc_id").join(classes.select("class_a", "class_b", "rep"), ["class_a", "class_b"])
-    known = known.unionByName(rep_of.select(F.col("doc_id").alias("x"), F.col("rep").alias("y")))
-    roots = stage(components(known), "roots")
+    edges = known.unionByName(rep_of.select(F.col("doc_id").alias("x"), F.col("rep").alias("y")))
+    roots = stage(components(edges), "roots")
     of = lambda roots: classes.join(roots, F.col("rep") == F.col("node"), "left").select("class_a", "class_b", "rep", "n", F.coalesce("root", "rep").alias("component"))
     now = stage(of(roots), "components")
-    more = verify(docs, _between(docs, now))
-    both = known.unionByName(more)
-    final = stage(of(components(both)), "components")
+    more = _between(docs, now)
+    final = now
+    if not more.isEmpty():  # the roots are stars already, so closing them again takes few rounds
+        stars_now = roots.select(F.col("node").alias("x"), F.col("root").alias("y"))
+        final = stage(of(stage(components(stars_now.unionByName(more)), "roots")), "components")
+        unstage(now)
+    unstage(more, known, roots, classes)
     out = profile.join(final.select("class_a", "class_b", "component"), ["class_a", "class_b"], "left")
     linked_to = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", linked_to.alias("component_id"))
@@ -295,8 +425,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of several rows of one doc_id the first by text stays; only those rows are ranked.
     """
-    from pyspark.sql import Window
-
     found = stage(link_documents(docs), "linked")
     again = stage(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     kept = found.where("doc_id is null or component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
@@ -306,3 +434,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = Window.partitionBy("doc_id").orderBy("text")
     ranked = out.join(again, "doc_id", "left_semi").withColumn("lattica_rank", F.row_number().over(first)).where("lattica_rank = 1").drop("lattica_rank")
     return out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(ranked.select(docs.columns))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS g FROM w
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS MATERIALIZED (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, t.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) t ON t.a = d.doc_id
+"""

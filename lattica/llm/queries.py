@@ -56,4 +56,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_fingerprints, op2_quality, op3_top_k, op4_ngram_join, op5_toxicity, op6_pseudo_likelihood, op7_mixing, op8_substring_dedup, op9_bpe, op10_language)
 }
-ORACLE_SQL: dict[str, str] = {"op3_top_k": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_top_k": topk.ORACLE, "op4_ngram_join": ngram_join.ORACLE}

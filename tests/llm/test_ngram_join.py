@@ -82,7 +82,7 @@ def test_product_finds_what_the_bands_miss(spark, words, monkeypatch):
     rows = [(i, " ".join(base[:k] + [f"w{i}"] + base[k + 1 :])) for i, k in enumerate(range(0, 80, 9))]
     rows += [(50 + i, " ".join(rng.choice(words) for _ in range(30))) for i in range(20)]
     stars = nj._stars
-    monkeypatch.setattr(nj, "_stars", lambda classes: stars(classes).limit(0))
+    monkeypatch.setattr(nj, "_stars", lambda classes: nj.stage(stars(classes).limit(0), "none"))
     assert found(spark, rows) == brute(rows)
 
 
@@ -122,3 +122,23 @@ def test_components(spark, seed):
         root[b] = a
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {x: find(x) for x in root if any(find(x) == find(y) and x != y for y in root)}
+
+
+def test_overlaps(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 60))) for _ in range(70)] + [np.arange(40)] * 30
+    for left, right in ((sets, sets), (sets[:10], sets[50:]), (sets[:1], sets[:0])):
+        want = [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+        assert nj.overlaps(left, right).tolist() == want
+
+
+def test_tiles_of_several_blocks(spark, words, monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(nj, "TILE", 4)
+    base = [rng.choice(words) for _ in range(60)]
+    rows = [(i, " ".join(base[: rng.randint(30, 60)] + [f"w{i}"] * rng.randint(0, 3))) for i in range(50)]
+    stars = nj._stars
+    monkeypatch.setattr(nj, "_stars", lambda classes: nj.stage(stars(classes).limit(0), "none"))
+    assert found(spark, rows) == brute(rows)
