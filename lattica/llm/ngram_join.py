@@ -34,14 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import U64, bounded_broadcast, mix, parallelism, stage, starts_of, texts_of, unstage
+from lattica.llm.common import U64, bounded_broadcast, give_back, mix, parallelism, stage, starts_of, texts_of, unstage
 from lattica.llm.components import components
 
 WORDS, PERCENT = 5, 75
 #: Bands of two min-hashes each.
 BANDS = 6
 #: Documents handled at once, entries sent at once, words whose hash is kept.
-ROWS, ENTRIES, KEPT_WORDS = 256, 1_000_000, 300_000
+ROWS, ENTRIES, KEPT_WORDS = 256, 400_000, 100_000
 #: Classes of a block in the product, about.
 TILE = 512
 _MULTIPLY = (mix(np.arange(1, 65, dtype=U64)) | U64(1))
@@ -97,6 +97,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, ROWS):
             yield batch.slice(i, ROWS)
+    give_back()
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +241,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((h, c))
     if held:
         yield from out()
+        held.clear()
+    give_back()
 
 
 def _entire(blocks: int):
