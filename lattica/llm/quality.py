@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import crc_fold, stage
 
 #: Labelled rows that the model is fitted on at most, chosen by a hash of the id.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 TREES, DEPTH, BINS, LEAF, RATE = 30, 3, 32, 8, 0.3
 FOLDS, HELD = 3, 1
 
@@ -115,19 +115,20 @@ def holds(rule: Rule, values: dict[str, np.ndarray]) -> np.ndarray:
 def lasso(z: np.ndarray, y: np.ndarray, weight: float, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic weights under an L1 penalty by accelerated proximal steps; the intercept is free."""
     n, m = z.shape
-    w, b = np.zeros(m), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    y = y.astype(z.dtype)  # single precision halves what the driver holds
+    w, b = np.zeros(m, z.dtype), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     u, c, t = w.copy(), b, 1.0
-    v = np.ones(m) / np.sqrt(max(m, 1))
+    v = np.ones(m, z.dtype) / z.dtype.type(np.sqrt(max(m, 1)))
     for _ in range(20):  # the largest eigenvalue bounds the curvature
         v = z.T @ (z @ v)
         v /= np.linalg.norm(v) + 1e-12
-    step = 1 / (0.25 * (np.linalg.norm(z @ v) ** 2 / n + 1.0) + 1e-9)
+    step = float(1 / (0.25 * (np.linalg.norm(z @ v) ** 2 / n + 1.0) + 1e-9))
     for _ in range(rounds):
         e = (1 / (1 + np.exp(-np.clip(z @ u + c, -30, 30))) - y) / n
         w1 = u - step * (z.T @ e)
         w1 = np.sign(w1) * np.maximum(np.abs(w1) - step * weight, 0)
-        b1 = c - step * e.sum()
-        t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        b1 = c - step * float(e.sum())
+        t1 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         u, c = w1 + (t - 1) / t1 * (w1 - w), b1 + (t - 1) / t1 * (b1 - b)
         w, b, t = w1, b1, t1
     return w, b
@@ -161,15 +162,17 @@ def fit_ensemble(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = NAMES) -
     test = np.arange(len(y)) % 5 == 4
     rules = rules_of(x, y, names)
     values = {n: x[:, i] for i, n in enumerate(names)}
-    z = np.stack([holds(r, values) for r in rules], axis=1).astype(np.float64) if rules else np.zeros((len(y), 0))
+    z = np.stack([holds(r, values) for r in rules], axis=1).astype(np.float32) if rules else np.zeros((len(y), 0), np.float32)
     best, chosen = np.inf, 0.001
     if 0 < y[~test].mean() < 1 and test.any():
+        fitted, judged = z[~test], z[test]
         for weight in (0.01, 0.003, 0.001, 0.0003):
-            w, b = lasso(z[~test], y[~test], weight, 150)
-            p = np.clip(1 / (1 + np.exp(-(z[test] @ w + b))), 1e-6, 1 - 1e-6)
+            w, b = lasso(fitted, y[~test], weight, 150)
+            p = np.clip(1 / (1 + np.exp(-(judged @ w + b))), 1e-6, 1 - 1e-6)
             loss = -np.mean(y[test] * np.log(p) + (1 - y[test]) * np.log(1 - p))
             if loss < best * 0.99:
                 best, chosen = loss, weight
+        del fitted, judged
     w, b = lasso(z, y, chosen)
     return RuleEnsemble(b, tuple((r, float(c)) for r, c in zip(rules, w.tolist(), strict=True) if abs(c) > 1e-4))
 
