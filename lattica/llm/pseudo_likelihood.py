@@ -1,9 +1,10 @@
 """LM scoring by masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
 A token's probability is that of its class, given the two tokens to the left and the two to the right, times its
-share of the class. The network (position-wise embeddings, tanh, softmax over classes) is trained in numpy on a
-bounded sample of texts; the shares come from the word counts of the whole corpus. A document's score is the sum of
-the log-probabilities of all its tokens.
+share of the class. The network (position-wise embeddings, tanh, softmax over classes) is trained in numpy over every
+token of the corpus: a sample gives the weights that all partitions start from, each partition goes over all its
+texts, and the weights are averaged by tokens in tree form. The shares come from the word counts of the whole corpus.
+A document's score is the sum of the log-probabilities of all its tokens.
 
 Classes: each of the ``OWN`` most frequent words has its own, other words are dealt by hash. Words beyond the
 ``LISTED`` most frequent share the counts of their hash bucket evenly among the bucket's distinct words.
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ LISTED, OWN, DEALT, BUCKETS = 20_000, 32, 32, 4096
 #: Words with an embedding of their own, buckets of the others, units.
 EMBEDDED, OTHERS, UNITS, WINDOW = 2000, 95, 32, (-2, -1, 1, 2)
 TRAIN_DOCS, TRAIN_CHARS, EPOCHS, BATCH, SEED = 1500, 20_000, 3, 512, 7
+#: Tokens of a step of a partition's pass, and the least steps: a partition of few tokens goes over them again.
+STEP, LEAST_STEPS = 2048, 150
 #: Distinct words counted before they are sent on, tokens scored at once, words kept.
 COUNTED, TOKENS, KEPT = 400_000, 65_536, 300_000
 CLASSES, MARK = OWN + DEALT, EMBEDDED + OTHERS
@@ -147,35 +151,47 @@ class Network:
         return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
-def train(windows: np.ndarray, classes: np.ndarray, seed: int = SEED) -> Network:
+class _Adam:
     """Adam on the cross entropy of the masked token's class."""
+
+    def __init__(self, net: Network):
+        self.net, self.params, self.step = net, [net.tables, net.hidden, net.out, net.bias], 0
+        self.first, self.second = ([np.zeros_like(p) for p in self.params] for _ in range(2))
+
+    def learn(self, w: np.ndarray, y: np.ndarray) -> None:
+        net = self.net
+        h, z = net.forward(w)
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        z /= z.sum(axis=1, keepdims=True)
+        z[np.arange(len(y)), y] -= 1
+        z /= len(y)
+        back = (z @ net.out.T) * (1 - h * h)
+        grads = [np.zeros_like(net.tables), back.sum(axis=0), h.T @ z, z.sum(axis=0)]
+        for p in range(len(WINDOW)):
+            order = np.argsort(w[:, p], kind="stable")
+            ids = w[order, p]
+            at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            grads[0][p][ids[at]] = np.add.reduceat(back[order], at, axis=0)
+        self.step += 1
+        for p, g, m, v in zip(self.params, grads, self.first, self.second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= 0.01 * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
+
+
+def train(windows: np.ndarray, classes: np.ndarray, seed: int = SEED) -> Network:
+    """A network from the start, on tokens that fit in memory."""
     rng = np.random.default_rng(seed)
     net = Network(
         rng.normal(0, 0.1, (len(WINDOW), MARK + 1, UNITS)).astype(np.float32), np.zeros(UNITS, np.float32),
         rng.normal(0, 0.1, (UNITS, CLASSES)).astype(np.float32), np.log((np.bincount(classes, minlength=CLASSES) + 1) / (len(classes) + CLASSES)).astype(np.float32),
     )
-    params = [net.tables, net.hidden, net.out, net.bias]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
+    adam = _Adam(net)
     for _ in range(EPOCHS):
         order = rng.permutation(len(classes))
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
-            w, y = windows[rows], classes[rows]
-            h, z = net.forward(w)
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(y)), y] -= 1
-            z /= len(y)
-            back = (z @ net.out.T) * (1 - h * h)
-            grads = [np.zeros_like(net.tables), back.sum(axis=0), h.T @ z, z.sum(axis=0)]
-            for p in range(len(WINDOW)):
-                np.add.at(grads[0][p], w[:, p], back)
-            step += 1
-            for p, g, m, v in zip(params, grads, first, second, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            adam.learn(windows[rows], classes[rows])
     return net
 
 
@@ -187,8 +203,8 @@ def prepare(texts: list[bytes], facts: _Facts) -> tuple[np.ndarray, np.ndarray,
     return flat[:, 0].astype(np.int32), flat[:, 1].astype(np.int64), flat[:, 2], sizes
 
 
-def learn(docs: DataFrame, words: Vocabulary, most: int = TRAIN_DOCS) -> Network:
-    """Train on at most ``most`` texts, chosen by a hash of the id."""
+def start(docs: DataFrame, words: Vocabulary, most: int = TRAIN_DOCS) -> Network:
+    """The weights that every partition starts from, of at most ``most`` texts chosen by a hash of the id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     picked = rows.where(F.length("text") <= TRAIN_CHARS).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     got = rows.join(F.broadcast(picked), "doc_id", "left_semi").where(F.length("text") <= TRAIN_CHARS).orderBy("doc_id", "text").limit(2 * most).select("text").toArrow()
@@ -196,6 +212,71 @@ def learn(docs: DataFrame, words: Vocabulary, most: int = TRAIN_DOCS) -> Network
     return train(contexts(ids, sizes), classes)
 
 
+def _passed(shared):
+    """Goes over all texts of a partition from the shared weights: (partition, tokens, weights)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, net = shared.value
+        net = Network(net.tables.copy(), net.hidden.copy(), net.out.copy(), net.bias.copy())
+        adam, facts, held, seen = _Adam(net), _Facts(words), [], 0
+        w, y = np.zeros((0, len(WINDOW)), np.int32), np.zeros(0, np.int64)
+
+        def step(w: np.ndarray, y: np.ndarray) -> None:
+            adam.learn(w, y)
+            if len(held) < LEAST_STEPS:
+                held.append((w, y))
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                ids, classes, _, sizes = prepare(texts_of(batch.column(0).slice(i, 64)), facts)
+                seen += len(ids)
+                w, y = np.concatenate([w, contexts(ids, sizes)]), np.concatenate([y, classes])
+                whole = len(y) // STEP * STEP
+                for j in range(0, whole, STEP):
+                    step(w[j : j + STEP], y[j : j + STEP])
+                w, y = w[whole:], y[whole:]
+        if len(y):
+            step(w, y)
+        for k in range(adam.step, LEAST_STEPS if held else 0):
+            adam.learn(*held[k % len(held)])
+        if seen:
+            flat = np.concatenate([p.ravel() for p in adam.params]).astype("<f4")
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([seen], pa.int64()), "weights": pa.array([flat.tobytes()], pa.binary())})
+
+    return run
+
+
+def _mean(parts: pa.Table) -> tuple[int, np.ndarray]:
+    """Tokens and the mean weights by tokens, added up in the order of the partitions."""
+    total, out = 0, 0.0
+    for i in np.argsort(parts.column("part").to_numpy()).tolist():
+        n = parts.column("n")[i].as_py()
+        total, out = total + n, out + n * np.frombuffer(parts.column("weights")[i].as_buffer(), "<f4").astype(np.float64)
+    return total, out / max(total, 1)
+
+
+def _averaged(key, table):  # Spark tells grouped functions apart by their hints
+    n, mean = _mean(table)
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "weights": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
+
+
+def learn(docs: DataFrame, words: Vocabulary) -> Network:
+    """Train over all texts: one pass of every partition from common weights, averaged in groups and then as a whole."""
+    net = start(docs, words)
+    shared = docs.sparkSession.sparkContext.broadcast((words, net))
+    kind = "part long, n long, weights binary"
+    parts = stage(docs.select("text").mapInArrow(_passed(shared), kind), "weights")
+    group = F.pmod("part", F.lit(max(1, int(parts.count() ** 0.5)))).alias("group")
+    found = parts.groupBy(group).applyInArrow(_averaged, kind).toArrow()
+    if not found.num_rows:
+        return net
+    flat, at, out = _mean(found)[1].astype(np.float32), 0, []
+    for p in (net.tables, net.hidden, net.out, net.bias):
+        out.append(flat[at : at + p.size].reshape(p.shape))
+        at += p.size
+    return Network(*out)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_probability, mean_log_probability of every document."""
     words = vocabulary(docs)

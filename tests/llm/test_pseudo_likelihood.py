@@ -5,6 +5,8 @@ import pytest
 
 from lattica.llm import pseudo_likelihood as pl
 
+from .conftest import frame
+
 
 def plain_score(text, words, net):
     ws = pl.tokens(text.encode())
@@ -56,3 +58,16 @@ def test_contexts_do_not_cross_texts():
 
 def test_empty_table(none):
     assert pl.score_documents(none).count() == 0
+
+
+def test_long_texts_are_trained_on(spark):
+    """A text over 20,000 characters whose words no other text has teaches the network."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"s{k}" for k in rng.integers(0, 40, 60)), "en", "a") for i in range(30)]
+    long = " ".join(["x y"] * 6000)
+    df = frame(spark, [*rows, (99, long, "en", "a")]).repartition(2).persist()
+    words = pl.vocabulary(df)
+    net = pl.learn(df, words)
+    facts = [words.facts(pl.word_hash(w)) for w in pl.tokens(long.encode())]
+    windows = pl.contexts(np.array([f[0] for f in facts], dtype=np.int32), np.array([len(facts)]))
+    assert net.log_probabilities(windows, np.array([f[1] for f in facts])).mean() > np.log(0.5)
