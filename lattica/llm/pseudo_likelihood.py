@@ -6,8 +6,8 @@ token of the corpus: a sample gives the weights that all partitions start from,
 texts, and the weights are averaged by tokens in tree form. The shares come from the word counts of the whole corpus.
 A document's score is the sum of the log-probabilities of all its tokens.
 
-Classes: each of the ``OWN`` most frequent words has its own, other words are dealt by hash. Words beyond the
-``LISTED`` most frequent share the counts of their hash bucket evenly among the bucket's distinct words.
+Classes: each of the ``OWN`` most frequent words has its own, other words are dealt by hash. Every word's share is its
+own whole-corpus count: the ``LISTED`` most frequent words' counts are broadcast, the others meet theirs in a join.
 
 Defined results: null, empty and blank texts have 0 tokens, sum and mean 0; tokens outside the text are one marker;
 an empty table gives no rows; extra columns are ignored.
@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stage, sums_by, texts_of
+from lattica.llm.common import stage, starts_of, sums_by, texts_of
 
 LISTED, OWN, DEALT, BUCKETS = 20_000, 32, 32, 4096
 #: Words with an embedding of their own, buckets of the others, units.
 EMBEDDED, OTHERS, UNITS, WINDOW = 2000, 95, 32, (-2, -1, 1, 2)
 TRAIN_DOCS, TRAIN_CHARS, EPOCHS, BATCH, SEED = 1500, 20_000, 3, 512, 7
 #: Tokens of a step of a partition's pass, and the least steps: a partition of few tokens goes over them again.
-STEP, LEAST_STEPS = 2048, 150
+STEP, LEAST_STEPS = 4096, 150
 #: Distinct words counted before they are sent on, tokens scored at once, words kept.
-COUNTED, TOKENS, KEPT = 400_000, 65_536, 300_000
+COUNTED, TOKENS, KEPT = 400_000, 4096, 300_000
 CLASSES, MARK = OWN + DEALT, EMBEDDED + OTHERS
 
 
@@ -79,38 +80,56 @@ class Vocabulary:
         per_bucket = np.arange(BUCKETS) % DEALT + OWN
         np.add.at(mass, per_bucket, self.bucket_counts + self.bucket_words + 1)
         self.log_mass = np.log(mass + 1e-9)
+        facts = np.array([self.facts(h) for h in self.hashes], dtype=np.float64).reshape(-1, 3)
+        self.listed_facts = facts[:, 0].astype(np.int64), facts[:, 1].astype(np.int64), facts[:, 2]
 
     def class_of(self, h: int) -> int:
         r = self.rank.get(h, LISTED)
         return r if r < OWN else OWN + (h % BUCKETS) % DEALT
 
     def facts(self, h: int) -> tuple[int, int, float]:
-        """Embedding, class, and log of the share of the class."""
+        """Embedding, class, and log of the share of the class; log(count + 1) is still to be added if not listed."""
         r = self.rank.get(h, -1)
         own = self.class_of(h)
         if r >= 0:
             return (r if r < EMBEDDED else EMBEDDED + h % OTHERS), own, float(np.log(self.counts[r] + 1) - self.log_mass[own])
-        b = h % BUCKETS
-        n, words = self.bucket_counts[b], self.bucket_words[b]
-        return EMBEDDED + h % OTHERS, own, float(np.log((n + words + 1) / (words + 1)) - self.log_mass[own])
+        return EMBEDDED + h % OTHERS, own, float(-self.log_mass[own])
 
+    def all_facts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The facts of many words, given by rank or, if not listed, by hash; and which are not listed."""
+        rare = (codes < 0) | (codes >= len(self.hashes))
+        embeddings, classes, share = EMBEDDED + codes % OTHERS, OWN + codes % BUCKETS % DEALT, np.zeros(len(codes))
+        listed = np.flatnonzero(~rare)
+        ranks = codes[listed]
+        embeddings[listed], classes[listed], share[listed] = (x[ranks] for x in self.listed_facts)
+        share[rare] = -self.log_mass[classes[rare]]
+        return embeddings.astype(np.int32), classes, share, rare
+
+
+class _Codes(dict):
+    """Words to their rank or, if not listed, to their hash."""
 
-class _Facts(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: bytes) -> tuple[int, int, float]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= KEPT:
             self.clear()
-        self[word] = out = self.vocabulary.facts(word_hash(word))
+        h = word_hash(word)
+        self[word] = out = self.vocabulary.rank.get(h, h)
         return out
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Counts over the whole corpus; the driver gets the listed words and one row per bucket."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (hash), n: the count of every word of the corpus, staged."""
     counts = docs.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = stage(counts, "word-counts")
+    return stage(counts, "word-counts")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    """Counts over the whole corpus; the driver gets the listed words and one row per bucket."""
+    counts = word_counts(docs) if counts is None else counts
     listed = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(LISTED).collect()]
     all_counts, all_words = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.groupBy(F.pmod("word", F.lit(BUCKETS)).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
@@ -195,12 +214,11 @@ def train(windows: np.ndarray, classes: np.ndarray, seed: int = SEED) -> Network
     return net
 
 
-def prepare(texts: list[bytes], facts: _Facts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Embedding ids, classes and shares of all tokens, and the number of tokens of each text."""
-    found = [[facts[w] for w in tokens(t)] for t in texts]
+def prepare(texts: list[bytes], codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all tokens, and the number of tokens of each text."""
+    found = [tokens(t) for t in texts]
     sizes = np.array([len(x) for x in found], dtype=np.int64)
-    flat = np.array([y for x in found for y in x], dtype=np.float64).reshape(-1, 3)
-    return flat[:, 0].astype(np.int32), flat[:, 1].astype(np.int64), flat[:, 2], sizes
+    return np.fromiter(map(codes.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(sizes.sum())), sizes
 
 
 def start(docs: DataFrame, words: Vocabulary, most: int = TRAIN_DOCS) -> Network:
@@ -208,7 +226,8 @@ def start(docs: DataFrame, words: Vocabulary, most: int = TRAIN_DOCS) -> Network
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     picked = rows.where(F.length("text") <= TRAIN_CHARS).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     got = rows.join(F.broadcast(picked), "doc_id", "left_semi").where(F.length("text") <= TRAIN_CHARS).orderBy("doc_id", "text").limit(2 * most).select("text").toArrow()
-    ids, classes, _, sizes = prepare(texts_of(got.column(0)), _Facts(words))
+    found, sizes = prepare(texts_of(got.column(0)), _Codes(words))
+    ids, classes, _, _ = words.all_facts(found)
     return train(contexts(ids, sizes), classes)
 
 
@@ -218,7 +237,7 @@ def _passed(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net = shared.value
         net = Network(net.tables.copy(), net.hidden.copy(), net.out.copy(), net.bias.copy())
-        adam, facts, held, seen = _Adam(net), _Facts(words), [], 0
+        adam, codes, held, seen = _Adam(net), _Codes(words), [], 0
         w, y = np.zeros((0, len(WINDOW)), np.int32), np.zeros(0, np.int64)
 
         def step(w: np.ndarray, y: np.ndarray) -> None:
@@ -228,7 +247,8 @@ def _passed(shared):
 
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
-                ids, classes, _, sizes = prepare(texts_of(batch.column(0).slice(i, 64)), facts)
+                found, sizes = prepare(texts_of(batch.column(0).slice(i, 64)), codes)
+                ids, classes, _, _ = words.all_facts(found)
                 seen += len(ids)
                 w, y = np.concatenate([w, contexts(ids, sizes)]), np.concatenate([y, classes])
                 whole = len(y) // STEP * STEP
@@ -277,22 +297,39 @@ def learn(docs: DataFrame, words: Vocabulary) -> Network:
     return Network(*out)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, log_probability, mean_log_probability of every document."""
-    words = vocabulary(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((words, learn(docs, words)))
+def _known(shared):
+    """Documents to the sum of what is known of their tokens, and the hashes of the words that are not listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net = shared.value
-        facts = _Facts(words)
+        codes, place = _Codes(words), TaskContext.get().partitionId() << 40
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                ids, classes, share, sizes = prepare(texts_of(part.column(1)), facts)
+                found, sizes = prepare(texts_of(part.column(1)), codes)
+                ids, classes, share, rare = words.all_facts(found)
                 windows = contexts(ids, sizes)
                 logs = np.concatenate([share[:0], *(net.log_probabilities(windows[j : j + TOKENS], classes[j : j + TOKENS]) + share[j : j + TOKENS] for j in range(0, len(ids), TOKENS))])
-                total = sums_by(logs, sizes)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n_tokens": pa.array(sizes), "log_probability": pa.array(np.round(total, 4)), "mean_log_probability": pa.array(np.round(total / np.maximum(sizes, 1), 6))})
+                ends = np.concatenate([[0], np.cumsum(rare)])[starts_of(sizes)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(place, place + part.num_rows)), part.column(0), pa.array(sizes), pa.array(sums_by(logs, sizes)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[rare]))],
+                    names=["place", "doc_id", "n_tokens", "known", "rare"],
+                )
+                place += part.num_rows
+
+    return run
+
 
+def score_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, log_probability, mean_log_probability of every document."""
+    counts = word_counts(docs)
+    words = vocabulary(docs, counts)
+    shared = docs.sparkSession.sparkContext.broadcast((words, learn(docs, words)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_probability double, mean_log_probability double")
+    known = stage(rows.mapInArrow(_known(shared), "place long, doc_id long, n_tokens long, known double, rare array<long>"), "known")
+    # whole numbers, so that the order in which they are added up does not show
+    log = F.round(F.log(F.col("n") + 1) * 1e9).cast("long")
+    rare = known.select("place", F.explode("rare").alias("word")).join(counts, "word").groupBy("place").agg(F.sum(log).alias("logs"))
+    total = F.col("known") + F.coalesce(F.col("logs"), F.lit(0)) / 1e9
+    mean = total / F.greatest("n_tokens", F.lit(1))
+    return known.drop("rare").join(rare, "place", "left").select("doc_id", "n_tokens", F.round(total, 4).alias("log_probability"), F.round(mean, 6).alias("mean_log_probability"))

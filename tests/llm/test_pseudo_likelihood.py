@@ -71,3 +71,19 @@ def test_long_texts_are_trained_on(spark):
     facts = [words.facts(pl.word_hash(w)) for w in pl.tokens(long.encode())]
     windows = pl.contexts(np.array([f[0] for f in facts], dtype=np.int32), np.array([len(facts)]))
     assert net.log_probabilities(windows, np.array([f[1] for f in facts])).mean() > np.log(0.5)
+
+
+def test_words_that_are_not_listed_count_by_themselves(spark, odd, odd_rows, monkeypatch):
+    """A word past the listed ones is scored by its own count, not by its bucket."""
+    want = {r["doc_id"]: r for r in pl.score_documents(odd).collect() if r["doc_id"] not in (None, 5)}
+    monkeypatch.setattr(pl, "LISTED", 40)
+    words = pl.vocabulary(odd)
+    net = pl.learn(odd, words)
+    n = pl.Counter(w for _, t, *_ in odd_rows for w in pl.tokens((t or "").encode()))
+    found = {r["doc_id"]: r for r in pl.score_documents(odd).collect()}
+    for i, t, *_ in odd_rows:
+        if i in want:
+            _, total = plain_score(t or "", words, net)
+            total += sum(np.log(n[w] + 1) for w in pl.tokens((t or "").encode()) if pl.word_hash(w) not in words.rank)
+            assert found[i]["n_tokens"] == want[i]["n_tokens"]
+            assert found[i]["log_probability"] == pytest.approx(total, rel=1e-3, abs=1e-2)
