@@ -5,6 +5,11 @@ their ends depend on nearby bytes only: an insertion shifts later chunks but doe
 deduplicated by digest; of equal chunks the one first by (doc_id, place) is the owner and stays. A run of repeated
 chunks is removed when the whole words inside it number ``MIN_WORDS`` or more.
 
+A passage may hold few chunk ends, or none. So each text also has anchors: of every ``SHARED - MIN_WORDS + 1`` runs of
+``MIN_WORDS`` words that follow one another, the one of least hash (winnowing). A passage of ``SHARED`` words or more
+has the same anchors wherever it stands, so all its copies meet; an anchor that repeats and lies outside the runs of
+chunks is removed as well.
+
 Documents are dealt into groups by a hash of the id. A group asks once for each distinct digest it has, the digests
 meet by block, and a block answers only the groups that hold a digest of which there are several; the answers meet
 the texts of the group again. A passage shared by a third of all documents costs a block one entry per group.
@@ -29,11 +34,17 @@ from lattica.llm.common import U64, mix, parallelism, starts_of
 
 #: Words that a run must hold to be removed.
 MIN_WORDS = 20
+#: A shared passage of so many whole words or more is always found.
+SHARED = 51
 #: Documents of a group, on average.
 GROUP = 512
 #: The gear table: 16 random bits for each byte, from a fixed rule.
 GEAR = (mix(np.arange(1, 257, dtype=U64)) & U64(0xFFFF)).astype(np.uint16)
 TOP = np.uint16(11)
+#: For the hashes of runs of words: a value for each byte, an odd multiplier and its inverse modulo 2**64.
+VALUE, STEP = mix(np.arange(257, 513, dtype=U64)), 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 1 << 64)
+BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 WORD_START, WORD = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -75,6 +86,47 @@ def runs(text: bytes, ends: np.ndarray, repeated: np.ndarray, min_words: int = M
     return out
 
 
+def _powers(x: int, n: int) -> np.ndarray:
+    out = np.full(n, x, dtype=U64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def anchors(text: bytes, width: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowed runs of ``width`` words: number of the first word, start and end in bytes."""
+    codes = np.frombuffer(text, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], BLANK[codes], [True]])))
+    starts, ends = edge[::2], edge[1::2]
+    n, window = len(starts) - width + 1, max(1, SHARED - width + 1)
+    if n < window:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    starts, ends = starts[:n], ends[width - 1 :]
+    total = np.zeros(len(text) + 1, dtype=U64)
+    np.cumsum(VALUE[codes] * _powers(STEP, len(text)), out=total[1:])
+    hashed = mix((total[ends] - total[starts]) * _powers(BACK, len(text))[starts])
+    first = np.unique(np.lib.stride_tricks.sliding_window_view(hashed, window).argmin(axis=1) + np.arange(n - window + 1))
+    return first, starts[first], ends[first]
+
+
+def others(text: bytes, starts: np.ndarray, ends: np.ndarray, owners: np.ndarray, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, owner) of repeated anchors that touch none of the runs found, those that overlap as one."""
+    out: list[tuple[int, int, int]] = []
+    taken = iter([*((a, b) for a, b, _ in found), (len(text) + 1, len(text) + 1)])
+    a, b = next(taken)
+    for i, j, owner in zip(starts.tolist(), ends.tolist(), owners.tolist(), strict=True):
+        i -= 0 < i and j < len(text)  # one blank stays between the words on both sides
+        while b <= i:
+            a, b = next(taken)
+        if a < j:
+            continue
+        if out and i <= out[-1][1]:
+            out[-1] = (out[-1][0], j, out[-1][2])
+        else:
+            out.append((i, j, owner))
+    return out
+
+
 def _ordered(table: pa.Table) -> list[tuple[int, int | None, bytes, int]]:
     """A group's rows by (id, text): id key, id, text, row."""
     ids, texts, rows = (table.column(k).to_pylist() for k in ("doc_id", "text", "row"))
@@ -96,6 +148,21 @@ def _chunked(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarra
     return ends, np.concatenate([*digests, np.zeros(0, U64)]), ids, np.concatenate([*place, np.zeros(0, np.int64)])
 
 
+def _anchored(rows: list[tuple], width: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors per row; digests, ids and places (in words) of all anchors. Places run on over rows of one id."""
+    digest = xxhash.xxh3_64_intdigest
+    found, d, place, last, at = [], [], [], None, 0
+    for r in rows:
+        at = at if r[0] == last else 0
+        first, starts, ends = anchors(r[2], width)
+        found.append((starts, ends))
+        d.append(np.fromiter((digest(r[2][i:j], 1) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=U64, count=len(first)))
+        place.append(first + at)
+        last, at = r[0], at + len(r[2])  # a text has no more words than bytes
+    ids = np.repeat(np.array([r[0] for r in rows], dtype=np.int64), [len(x) for x in d])
+    return found, np.concatenate([*d, np.zeros(0, U64)]), ids, np.concatenate([*place, np.zeros(0, np.int64)])
+
+
 def _firsts(d: np.ndarray, ids: np.ndarray, place: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, ...]:
     """For each distinct digest: digest, id and place of the first chunk, sum of ``extra``."""
     order = np.lexsort((place, ids, d))
@@ -113,10 +180,11 @@ def _entries(d: np.ndarray, ids: np.ndarray, place: np.ndarray, many: np.ndarray
     return d.astype("<u8").tobytes() + ids.astype("<i8").tobytes() + place.astype("<u4").tobytes() + many.astype("u1").tobytes()
 
 
-def _ask(blocks: int):
+def _ask(blocks: int, min_words: int):
     def run(key, table):  # Spark tells grouped functions apart by their hints
         """A group's distinct digests with their first chunks and whether there are several, by block."""
-        _, d, ids, place = _chunked(_ordered(table))
+        rows = _ordered(table)
+        d, ids, place = (np.concatenate(x) for x in zip(_chunked(rows)[1:], _anchored(rows, min_words)[1:], strict=True))
         d, ids, place, many = _firsts(d, ids, place, np.ones(len(d), dtype=np.int64))
         block = (d % U64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
@@ -170,15 +238,25 @@ def _marked(texts: pa.Table, answers: pa.Table, min_words: int) -> Iterator[tupl
     known, owner, where = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in ((0, U64), (1, np.int64), (2, np.int64)))
     order = np.argsort(known)
     known, owner, where = known[order], owner[order], where[order].astype(np.int64)
-    slot = np.minimum(np.searchsorted(known, d), max(len(known) - 1, 0))
-    if len(known):
-        repeated = (known[slot] == d) & ((owner[slot] != ids) | (where[slot] != place))
-    else:
-        repeated = np.zeros(len(d), dtype=bool)
-    at = starts_of(np.array([len(e) for e in ends], dtype=np.int64)).tolist()
-    for r, e, i, j in zip(rows, ends, at, at[1:], strict=False):
-        found = runs(r[2], e, repeated[i:j], min_words) if repeated[i:j].any() else []
-        yield r, [(a, b, int(owner[slot[i + c]])) for a, b, c in found]
+
+    def again(d: np.ndarray, ids: np.ndarray, place: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which stand ``apart`` or more behind the first of their kind, and its owner."""
+        if not len(known):
+            return np.zeros(len(d), dtype=bool), np.zeros(len(d), np.int64)
+        slot = np.minimum(np.searchsorted(known, d), len(known) - 1)
+        return (known[slot] == d) & ((owner[slot] != ids) | (place - where[slot] >= apart)), owner[slot]
+
+    repeated, keeper = again(d, ids, place, 1)
+    spans, d, ids, place = _anchored(rows, min_words)
+    more, keepers = again(d, ids, place, min_words)
+    at, start = (starts_of(np.array([len(x) for x in y], dtype=np.int64)).tolist() for y in (ends, [x for x, _ in spans]))
+    for k, (r, e) in enumerate(zip(rows, ends, strict=True)):
+        (i, j), (p, q) = at[k : k + 2], start[k : k + 2]
+        found = [(a, b, int(keeper[i + c])) for a, b, c in runs(r[2], e, repeated[i:j], min_words)] if repeated[i:j].any() else []
+        if more[p:q].any():
+            keep = more[p:q]
+            found = sorted(found + others(r[2], spans[k][0][keep], spans[k][1][keep], keepers[p:q][keep], found))
+        yield r, found
 
 
 def _grouped(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -188,10 +266,10 @@ def _grouped(docs: DataFrame, columns: list[str]) -> DataFrame:
     return rows.repartition(max(parallelism(docs.sparkSession), 1), "doc_group")
 
 
-def _answers(rows: DataFrame) -> DataFrame:
+def _answers(rows: DataFrame, min_words: int) -> DataFrame:
     spark = rows.sparkSession
     n = parallelism(spark)
-    asked = rows.select("doc_group", "doc_id", "text", F.lit(0).alias("row")).groupBy("doc_group").applyInArrow(_ask(4 * n), "block long, asker long, entries binary")
+    asked = rows.select("doc_group", "doc_id", "text", F.lit(0).alias("row")).groupBy("doc_group").applyInArrow(_ask(4 * n, min_words), "block long, asker long, entries binary")
     return asked.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_answer, "doc_group long, entries binary")
 
 
@@ -209,7 +287,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(names)})
 
     texts = rows.select("doc_group", "doc_id", "text", F.lit(0).alias("row")).groupBy("doc_group")
-    return texts.cogroup(_answers(rows).groupBy("doc_group")).applyInArrow(run, "doc_id long, start long, length long, n_words long, first_doc_id long, passage string")
+    return texts.cogroup(_answers(rows, min_words).groupBy("doc_group")).applyInArrow(run, "doc_id long, start long, length long, n_words long, first_doc_id long, passage string")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -235,7 +313,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pa.table({"doc_id": out.column("doc_id"), "text": pa.array([o if k is None else k for o, k in zip(old, kept, strict=True)], pa.string()), "lattica_rest": out.column("lattica_rest")})
 
     texts = rows.select("doc_group", "doc_id", "text", "lattica_rest").groupBy("doc_group")
-    out = texts.cogroup(_answers(asked).groupBy("doc_group")).applyInArrow(run, f"doc_id long, text string, lattica_rest {kind}")
+    out = texts.cogroup(_answers(asked, min_words).groupBy("doc_group")).applyInArrow(run, f"doc_id long, text string, lattica_rest {kind}")
     columns = {f.name: F.col("lattica_rest").getField(f.name) for f in others} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)

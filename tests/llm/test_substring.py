@@ -85,3 +85,33 @@ def test_rows_stay(odd, none):
     assert sub.remove_repeats(odd).count() == odd.count()
     assert sub.remove_repeats(odd).where("doc_id = 0 and text is null").count() == 1
     assert sub.repeats(none).count() == 0 and sub.remove_repeats(none).count() == 0
+
+
+def test_every_passage_over_50_words_is_found(spark):
+    """Passages of 51 words whose chunk ends leave fewer than 20 words between them, and one without any chunk end."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(n))
+    passages = []
+    while len(passages) < 8:
+        p = text(51)
+        ends = sub.boundaries(f" {p} ".encode())[:-1]
+        if len(ends) < 2 or len(p.encode()[ends[0] : ends[-1]].split()) < 20:
+            passages.append(p)
+    flat = next(w for w in (text(1) for _ in range(1000)) if len(sub.boundaries(f"{w} ".encode() * 60)) == 1)
+    passages.append(" ".join([flat] * 60))
+    rows = [(100 * k + i, f"{text(30)} {p} {text(30)}", "en", "a") for k, p in enumerate(passages) for i in range(3)]
+    df = frame(spark, rows)
+    found = sub.repeats(df).collect()
+    assert {r["doc_id"] for r in found} >= {100 * k + i for k in range(len(passages)) for i in (1, 2)}
+    texts = {i: t for i, t, *_ in rows}
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["passage"] and r["n_words"] >= 20 for r in found)
+    out = {r["doc_id"]: r["text"] for r in sub.remove_repeats(df).collect()}
+    for i, t in texts.items():
+        assert out[i].split()[:30] == t.split()[:30] and out[i].split()[-30:] == t.split()[-30:]
+        assert out[i] == t if i % 100 == 0 and i < 800 else len(out[i]) <= len(t)
+
+
+def test_an_anchor_of_one_text_stays_where_it_stands_first(spark):
+    df = frame(spark, [(1, "spam " * 25 + " ".join(f"w{i}" for i in range(60)), "en", "a")])
+    assert sub.repeats(df).count() == 0
