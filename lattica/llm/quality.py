@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from lattica.llm.common import crc_fold, stage
 
 #: Labelled rows that the model is fitted on at most, chosen by a hash of the id.
-MAX_LABELLED = 10_000
+MAX_LABELLED = 20_000
+#: Rows of the rule matrix that are numbers at once; it is held as truth values.
+BLOCK = 2048
 TREES, DEPTH, BINS, LEAF, RATE = 30, 3, 32, 8, 0.3
 FOLDS, HELD = 3, 1
 
@@ -115,17 +117,22 @@ def holds(rule: Rule, values: dict[str, np.ndarray]) -> np.ndarray:
 def lasso(z: np.ndarray, y: np.ndarray, weight: float, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic weights under an L1 penalty by accelerated proximal steps; the intercept is free."""
     n, m = z.shape
-    y = y.astype(z.dtype)  # single precision halves what the driver holds
-    w, b = np.zeros(m, z.dtype), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    kind = np.float32 if z.dtype == bool else z.dtype
+    y = y.astype(kind)
+    blocks = lambda: ((slice(i, i + BLOCK), z[i : i + BLOCK].astype(kind)) for i in range(0, n, BLOCK))
+    w, b = np.zeros(m, kind), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     u, c, t = w.copy(), b, 1.0
-    v = np.ones(m, z.dtype) / z.dtype.type(np.sqrt(max(m, 1)))
+    v = np.ones(m, kind) / np.sqrt(max(m, 1)).astype(kind)
     for _ in range(20):  # the largest eigenvalue bounds the curvature
-        v = z.T @ (z @ v)
+        v = sum((part.T @ (part @ v) for _, part in blocks()), np.zeros(m, kind))
         v /= np.linalg.norm(v) + 1e-12
-    step = float(1 / (0.25 * (np.linalg.norm(z @ v) ** 2 / n + 1.0) + 1e-9))
+    step = float(1 / (0.25 * (sum(np.linalg.norm(part @ v) ** 2 for _, part in blocks()) / n + 1.0) + 1e-9))
     for _ in range(rounds):
-        e = (1 / (1 + np.exp(-np.clip(z @ u + c, -30, 30))) - y) / n
-        w1 = u - step * (z.T @ e)
+        e, back = np.zeros(n, kind), np.zeros(m, kind)
+        for at, part in blocks():
+            e[at] = (1 / (1 + np.exp(-np.clip(part @ u + c, -30, 30))) - y[at]) / n
+            back += part.T @ e[at]
+        w1 = u - step * back
         w1 = np.sign(w1) * np.maximum(np.abs(w1) - step * weight, 0)
         b1 = c - step * float(e.sum())
         t1 = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -162,7 +169,7 @@ def fit_ensemble(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = NAMES) -
     test = np.arange(len(y)) % 5 == 4
     rules = rules_of(x, y, names)
     values = {n: x[:, i] for i, n in enumerate(names)}
-    z = np.stack([holds(r, values) for r in rules], axis=1).astype(np.float32) if rules else np.zeros((len(y), 0), np.float32)
+    z = np.stack([holds(r, values) for r in rules], axis=1) if rules else np.zeros((len(y), 0), dtype=bool)
     best, chosen = np.inf, 0.001
     if 0 < y[~test].mean() < 1 and test.any():
         fitted, judged = z[~test], z[test]

@@ -53,3 +53,14 @@ def test_odd_documents(spark, odd, none):
     assert quality.scores(none, labels).count() == 0
     assert [r[0] for r in quality.scores(odd, labels.limit(0)).select("score").distinct().collect()] == [0.5]
     assert quality.keep_good(odd, labels).columns == odd.columns
+
+
+def test_truth_values_are_fitted_as_numbers():
+    """The rule matrix is held as truth values, a block of rows at a time as numbers, for all 20,000 rows."""
+    rng = np.random.default_rng(4)
+    z = rng.integers(0, 2, (5000, 12)).astype(bool)
+    y = (z[:, 3] & z[:, 5]).astype(float)
+    w, b = quality.lasso(z, y, 0.003)
+    other, c = quality.lasso(z.astype(float), y, 0.003)
+    assert w == pytest.approx(other, abs=1e-3) and b == pytest.approx(c, abs=1e-3)
+    assert quality.MAX_LABELLED == 20_000
