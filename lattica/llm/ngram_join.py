@@ -245,6 +245,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (class_a, text) the rows whose text is of that class, not another text of the same doc_id."""
+    for batch in _chunks(batches):
+        own = [class_of(s)[0] == a for a, s in zip(batch.column(0).to_pylist(), shingle_sets(texts_of(batch.column(1))), strict=True)]
+        yield batch.filter(pa.array(own, pa.bool_()))
+
+
 def _entire(blocks: int):
     """(class_a, text) to all entries of the class, packed by column block."""
 
@@ -293,7 +300,8 @@ def _between(docs: DataFrame, classes: DataFrame) -> DataFrame:
     alive = stage(classes.join(_across(first, classes).groupBy("rep", "n").count().where(some).select("rep"), "rep"), "alive")
     unstage(first)
     ids = bounded_broadcast(alive.select(F.col("rep").alias("doc_id"), "class_a"), alive.count())
-    texts = _rows(docs).where(F.col("doc_id").isNotNull()).join(ids, "doc_id").select("class_a", "text").dropDuplicates(["class_a"])
+    texts = _rows(docs).where(F.col("doc_id").isNotNull()).join(ids, "doc_id").select("class_a", "text")
+    texts = texts.mapInArrow(_own, "class_a long, text string").dropDuplicates(["class_a"])
     every = stage(meet(texts.mapInArrow(_entire(4 * n), packed)), "entries")
     least = F.ceil(F.col("n") * PERCENT / 100)
     for again in (False, True):  # classes that are out may leave columns to one component

@@ -142,3 +142,16 @@ def test_tiles_of_several_blocks(spark, words, monkeypatch):
     stars = nj._stars
     monkeypatch.setattr(nj, "_stars", lambda classes: nj.stage(stars(classes).limit(0), "none"))
     assert found(spark, rows) == brute(rows)
+
+
+def test_links_of_an_id_with_several_texts(spark, words, monkeypatch):
+    """The product between components meets each class by a text of its own, whichever rows of its doc_id come first."""
+    rng = random.Random(12)
+    monkeypatch.setattr(nj, "_stars", lambda classes, stars=nj._stars: nj.stage(stars(classes).limit(0), "none"))
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = []
+    for k in range(6):
+        a, b = text(60), text(60)
+        rows += [(10 * k, " ".join(a)), (10 * k, " ".join(b)), (10 * k + 1, " ".join([*a[:-1], "x"])), (10 * k + 2, " ".join([*b[:-1], "y"]))]
+    assert found(spark, rows, 1) == brute(rows)
+    assert found(spark, rows[::-1], 1) == brute(rows)
