@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -32,15 +33,41 @@ def test_same_as_the_library(texts):
     same(texts)
 
 
+@pytest.mark.parametrize("template", ["a{}b1", "{0}{0}.", "1{}á"])
+def test_every_code_point(template):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    same([" ".join(template.format(c) for c in every[i : i + 500]) for i in range(0, len(every), 500)])
+
+
 def test_one_tree_and_many_trees_agree():
     rng = random.Random(1)
-    pieces = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 40))).encode() for _ in range(200)]
-    many = MINE.encode_pieces(pieces)
-    assert many == [MINE.encode_pieces([p])[0] for p in pieces]
+    pieces = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 300))).encode() for _ in range(300)]
+    sizes = np.array([len(p) for p in pieces])
+    ids, counts = MINE.merge(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    for p, own in zip(pieces, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        raw = np.frombuffer(p, np.uint8)
+        assert own.tolist() == MINE.merge_one([*MINE.inner[raw[:-1]].tolist(), int(MINE.last[raw[-1]])])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abstremvld'’1²\u00a0é!ßx"), min_size=1, max_size=12).filter(lambda w: w.encode().split() == [w.encode()]), min_size=1, max_size=8))
+def test_spans_are_those_of_the_pattern(words):
+    words = [w.encode() for w in words]
+    raw, starts, sizes, owners = MINE.spans(words)
+    found = [(o, raw[i : i + n].tobytes()) for o, i, n in zip(owners.tolist(), starts.tolist(), sizes.tolist(), strict=True)]
+    assert found == [(k, p.encode()) for k, w in enumerate(words) for p in MINE.pieces.findall(w.decode())]
+
+
+def test_segments_of_a_long_text(monkeypatch, words):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(200))) for _ in range(30)] + ["\n", "", "<|endoftext|>" * 9, "x" * 500 + " y"]
+    monkeypatch.setattr(bpe, "SEGMENT", 64)
+    monkeypatch.setattr(bpe, "AT_ONCE", 300)
+    same(texts)
 
 
 def test_small_cache(monkeypatch, words):
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 5)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 2000)
     for i in range(0, 60, 6):
         same([" ".join(words[i : i + 6])])
 
@@ -53,7 +80,7 @@ def test_documents(odd, odd_rows, none):
         want.append((i, len(e.ids), sha(" ".join(map(str, e.ids))), sha(OTHER.decode(e.ids, skip_special_tokens=False))))
     assert sorted(map(tuple, bpe.encode_documents(odd, PATH).collect()), key=str) == sorted(want, key=str)
     assert bpe.encode_documents(none, PATH).count() == 0
-    with_texts = bpe.encode_documents(odd, PATH, texts=True).where("doc_id = 10").first()
+    with_texts = bpe.encode_documents(odd, PATH, ids=True, decoded=True).where("doc_id = 10").first()
     assert sha(" ".join(map(str, with_texts["ids"]))) == with_texts["ids_sha256"] and sha(with_texts["decoded"]) == with_texts["decoded_sha256"]
 
 
