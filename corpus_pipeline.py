@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document taken, with the digests that the BPE query returns."""
-    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), texts=True).drop("decoded")
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
 
 
 STAGES = [
