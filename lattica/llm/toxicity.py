@@ -6,11 +6,14 @@ L1 penalty is fitted on the scaled features. A word's weight is the sum of its n
 scored by adding up its distinct words, all of them.
 
 Training sample: at most ``PER_CLASS`` labelled texts of each class outside the held-out fold, chosen by a hash of
-the id, of at most ``TRAIN_CHARS`` code points each. Scoring has no limit.
-
-Defined results: a null text counts as empty; an empty text has the intercept's score; without labels of both
-classes every score is the smoothed share of label 1 (0.5 without labels); of repeated labels the largest counts;
-extra columns are ignored.
+the id, whatever their length. Executors take a text's distinct words and min-hashes; only these reach the driver.
+Scoring has no limit.
+
+Defined results: a null text counts as empty; an empty text has the intercept's score; a text of any length is
+trained on and scored whole; without labels of both classes, or where no n-gram tells them apart, every score is the
+smoothed share of label 1 (0.5 without labels); of repeated labels the largest counts, and a label above 0 is toxic;
+of several texts of one labelled id the first in order is learned; repeated rows and rows without id stay, each with
+its score; equal texts have equal scores; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import U64, crc_fold, mix, starts_of, sums_by, texts_of
+from lattica.llm.common import U64, crc_fold, give_back, mix, starts_of, sums_by, texts_of
 from lattica.llm.ngram_join import shingle_sets
 
 FOLDS, HELD = 5, 0
-PER_CLASS, TRAIN_CHARS = 3000, 20_000
+PER_CLASS = 3000
 SIZES, SIEVE, SMOOTH = (3, 4, 5, 6), 22, 0.5
 #: Least G statistic of a feature, and the weight of the L1 penalty.
 LEAST_G, PENALTY = 10.8, 0.0005
@@ -96,8 +99,8 @@ def _soft_logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.
     """L1 logistic regression on a sparse matrix whose entry (row, col) is scale[col]."""
     n, m = len(y), len(scale)
     values = scale[cols]
-    times = lambda w: np.bincount(rows, weights=values * w[cols], minlength=n)
-    back = lambda e: np.bincount(cols, weights=values * e[rows], minlength=m)
+    times = lambda w: np.bincount(rows, weights=values * w[cols], minlength=n).astype(np.float64)
+    back = lambda e: np.bincount(cols, weights=values * e[rows], minlength=m).astype(np.float64)
     w, b = np.zeros(m), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     u, c, t, v = w.copy(), b, 1.0, np.ones(m) / np.sqrt(max(m, 1))
     for _ in range(15):
@@ -115,20 +118,33 @@ def _soft_logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.
     return w, b
 
 
-def without_copies(texts: list[bytes], labels: list[int]) -> tuple[list[bytes], list[int]]:
-    """One text of each group of copies and near copies within a class: those that share one of three min-hashes of 5-word shingles.
+#: A training text: its distinct words, its min-hashes, its label.
+Sample = tuple[list[bytes], tuple[int, ...], int]
 
-    Copies would count their chance n-grams again and again.
-    """
-    seen: set[tuple[int, int, int]] = set()
+
+def samples(texts: list[bytes], labels: list[int]) -> list[Sample]:
+    """The min-hashes are three of the 5-word shingles, none where a text has no words."""
     out = []
     for t, y, shingles in zip(texts, labels, shingle_sets(texts), strict=True):
         with np.errstate(over="ignore"):
-            keys = {(y, k, int((shingles * (_MULTIPLY[k] | U64(1))).min())) for k in range(3)} if len(shingles) else set()
+            keys = tuple(int((shingles * (_MULTIPLY[k] | U64(1))).min().view(np.int64)) for k in range(3)) if len(shingles) else ()
+        out.append((sorted(words_of(t)), keys, y))
+    return out
+
+
+def without_copies(found: list[Sample]) -> list[Sample]:
+    """Texts of which no two of a class share one of three min-hashes, taken in order.
+
+    Copies and near copies would count their chance n-grams again and again.
+    """
+    seen: set[tuple[int, int, int]] = set()
+    out = []
+    for words, hashes, y in found:
+        keys = {(y, k, h) for k, h in enumerate(hashes)}
         if not keys & seen:
-            out.append((t, y))
-        seen |= keys
-    return [t for t, _ in out], [y for _, y in out]
+            out.append((words, hashes, y))
+            seen |= keys
+    return out
 
 
 def _telling(seen: np.ndarray, n0: float, n1: float) -> tuple[np.ndarray, np.ndarray]:
@@ -141,33 +157,39 @@ def _telling(seen: np.ndarray, n0: float, n1: float) -> tuple[np.ndarray, np.nda
 
 
 def fit(texts: list[bytes], labels: list[int]) -> NgramModel:
+    return fit_samples(samples(texts, labels))
+
+
+def fit_samples(found: list[Sample]) -> NgramModel:
     """Count, select features whose counts differ between the classes (G test), scale, and fit.
 
     The n-grams are counted twice: by bucket of a sieve, so that few are left, and those by their whole hash.
     """
-    texts, labels = without_copies(texts, labels)
-    y = np.array(labels, dtype=np.float64)
+    found = without_copies(found)
+    y = np.array([label for _, _, label in found], dtype=np.float64)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    plain = NgramModel(float(np.log(share / (1 - share))), np.zeros(0, U64), np.zeros(0))
     if not len(y) or y.min() == y.max():
-        p = (y.sum() + 0.5) / (len(y) + 1)
-        return NgramModel(float(np.log(p / (1 - p))), np.zeros(0, U64), np.zeros(0))
+        return plain
     n1, n0 = y.sum(), len(y) - y.sum()
-    own = lambda t: np.unique(grams(sorted(words_of(t)))[0])
     bucket = lambda h: (h >> U64(64 - SIEVE)).astype(np.int64)
     seen = np.zeros((2, 1 << SIEVE), dtype=np.float32)
-    for t, label in zip(texts, labels, strict=True):
-        seen[label, np.unique(bucket(own(t)))] += 1
+    for words, _, label in found:
+        seen[label, np.unique(bucket(grams(words)[0]))] += 1
     # a bucket holds a telling n-gram among others, so it needs a part of its G only
     some = (seen[1] >= 2) | (seen[0] >= 8)
     passing = np.zeros(1 << SIEVE, dtype=bool)
     passing[some] = _telling(seen[:, some].astype(np.float64), n0, n1)[1]
-    found = []
-    for t in texts:
-        h = own(t)
-        found.append(h[passing[bucket(h)]])
-    rows = np.repeat(np.arange(len(texts)), [len(h) for h in found])
-    keys, cols = np.unique(np.concatenate(found), return_inverse=True)
+    kept = []
+    for words, _, _ in found:
+        h = grams(words)[0]
+        kept.append(np.unique(h[passing[bucket(h)]]))
+    rows = np.repeat(np.arange(len(found)), [len(h) for h in kept])
+    keys, cols = np.unique(np.concatenate(kept), return_inverse=True)
     seen = np.stack([np.bincount(cols, weights=(y[rows] == c).astype(np.float64), minlength=len(keys)) for c in (0, 1)])
     ratio, good = _telling(seen, n0, n1)
+    if not good.any():
+        return plain
     place = np.cumsum(good) - 1
     keep = good[cols]
     w, b = _soft_logistic(rows[keep], place[cols[keep]], ratio[good], y, PENALTY)
@@ -175,15 +197,28 @@ def fit(texts: list[bytes], labels: list[int]) -> NgramModel:
     return NgramModel(b, keys[good][used], (w * ratio[good])[used])
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            part = batch.slice(i, ROWS)
+            found = samples(texts_of(part.column(1)), part.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([b" ".join(words) for words, _, _ in found], pa.binary()), pa.array([list(keys) for _, keys, _ in found], pa.list_(pa.int64())), part.column(2)],
+                names=["doc_id", "words", "keys", "label"],
+            )
+    give_back()
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> NgramModel:
-    """Fit on the driver, on a bounded sample of whole labelled texts."""
+    """Fit on the driver, on the distinct words of a bounded sample of labelled texts."""
     given = labels.where(F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != HELD))
-    given = given.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
+    given = given.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("label"))
     by = [F.xxhash64("doc_id"), "doc_id"]
-    picked = given.where("label = 1").orderBy(*by).limit(per_class).unionByName(given.where("label <> 1").orderBy(*by).limit(per_class))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= TRAIN_CHARS)
-    got = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "label").toArrow()
-    return fit(texts_of(got.column(0)), got.column(1).to_pylist())
+    picked = given.where("label = 1").orderBy(*by).limit(per_class).unionByName(given.where("label = 0").orderBy(*by).limit(per_class))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    chosen = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    got = chosen.mapInArrow(_sampled, "doc_id long, words binary, keys array<long>, label int").toArrow().sort_by("doc_id")
+    return fit_samples([(words.split(), tuple(keys), y) for words, keys, y in zip(*(got.column(c).to_pylist() for c in ("words", "keys", "label")), strict=True)])
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -198,6 +233,8 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 part = batch.slice(i, ROWS)
                 margin = np.clip(np.array(model.margins(texts_of(part.column(1)), known)), -30, 30)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "score": pa.array(1 / (1 + np.exp(-margin)))})
+        known.clear()
+        give_back()
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     held = crc_fold(F.col("doc_id"), FOLDS) == HELD
