@@ -5,11 +5,14 @@ space), hashed, weighted by inverse document frequency and normalised. The train
 clustered by spherical k-means; a text gets the language of the centroid with the largest cosine. It is rejected
 when that cosine is below what nearly all training texts of the centroid reach, less a margin.
 
-Training sample: at most ``PER_LANGUAGE`` texts of each language outside the held-out fold, chosen by a hash of the
-id, of at most ``TRAIN_CHARS`` code points. Scoring takes whole texts.
-
-Defined results: null texts and texts without a letter are `und` with score 0 and count as rejected; without
-training texts everything is `und`; extra columns are ignored.
+Training sample: at most ``PER_LANGUAGE`` texts of each language outside the held-out fold, and ``MAX_TEXTS`` in all,
+chosen by a hash of the id, whatever their length. Executors count their n-grams; only the counts reach the driver.
+Scoring takes whole texts.
+
+Defined results: null texts and texts without a letter are `und` with score 0 and count as rejected; a text of any
+length is counted whole; without training texts everything is `und`; of several texts of one id the first by language
+and text is learned; on ties the first centroid wins (languages in order); repeated rows and rows without id stay,
+each with its result; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import U64, crc_fold, mix, texts_of
+from lattica.llm.common import U64, crc_fold, give_back, mix, stage, texts_of, unstage
 
 FOLDS, HELD = 3, 1
-PER_LANGUAGE, TRAIN_CHARS, CENTROIDS = 400, 20_000, 4
+PER_LANGUAGE, MAX_TEXTS, CENTROIDS = 400, 6000, 4
+#: Bytes that are counted at once.
+AT_ONCE = 1_000_000
 SIZES, DIMS, ROWS = (1, 2, 3), 4096, 256
 UND = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -35,17 +40,12 @@ TABLE = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else
 _MULTIPLY = (mix(np.arange(201, 201 + max(SIZES), dtype=U64)) | U64(1)).astype(np.uint32) | np.uint32(1)
 
 
-def counts(texts: list[bytes]) -> np.ndarray:
-    """Hashed n-gram counts, a row for each text; n-grams of blanks only do not count."""
-    marked = [b" " + t.translate(TABLE) + b" " for t in texts]
-    raw = np.frombuffer(b"".join(marked), dtype=np.uint8)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in marked])
-    wide = raw.astype(np.uint32)
-    out = np.zeros(len(texts) * DIMS, dtype=np.int64)
-    blank = raw == 32
+def _add(out: np.ndarray, raw: np.ndarray, owner: np.ndarray, limit: int) -> None:
+    """Adds the hashed n-grams that begin before ``limit`` and lie in one text to the rows of ``out``."""
+    wide, blank = raw.astype(np.uint32), raw == 32
     with np.errstate(over="ignore"):
         for n in SIZES:
-            m = len(raw) - n + 1
+            m = min(limit, len(raw) - n + 1)
             if m <= 0:
                 continue
             total = np.full(m, n * 7919, dtype=np.uint32)
@@ -56,10 +56,30 @@ def counts(texts: list[bytes]) -> np.ndarray:
             total ^= total >> np.uint32(15)
             total *= np.uint32(0x2C1B3C6D)
             total ^= total >> np.uint32(12)
-            keep &= owner[:m] == owner[n - 1 :]
+            keep &= owner[:m] == owner[n - 1 : n - 1 + m]
             cell = owner[:m] * DIMS + (total & np.uint32(DIMS - 1)).astype(np.int64)
-            out += np.bincount(cell[keep], minlength=len(out))
-    return out.reshape(len(texts), DIMS)
+            out += np.bincount(cell[keep], minlength=out.size).reshape(out.shape)
+
+
+def counts(texts: list[bytes]) -> np.ndarray:
+    """Hashed n-gram counts, a row for each text; n-grams of blanks only do not count. A long text is taken in parts."""
+    marked = [b" " + t.translate(TABLE) + b" " for t in texts]
+    out = np.zeros((len(texts), DIMS), dtype=np.int64)
+    over = max(SIZES) - 1
+    i = 0
+    while i < len(marked):
+        j, size = i + 1, len(marked[i])
+        while j < len(marked) and size + len(marked[j]) <= AT_ONCE:
+            size += len(marked[j])
+            j += 1
+        if size <= AT_ONCE:
+            _add(out[i:j], np.frombuffer(b"".join(marked[i:j]), dtype=np.uint8), np.repeat(np.arange(j - i), [len(t) for t in marked[i:j]]), size)
+        else:
+            for at in range(0, size, AT_ONCE):
+                raw = np.frombuffer(marked[i][at : at + AT_ONCE + over], dtype=np.uint8)
+                _add(out[i:j], raw, np.zeros(len(raw), np.int64), AT_ONCE)
+        i = j
+    return out
 
 
 def vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -100,28 +120,70 @@ class Centroids:
 
 
 def fit(texts: list[bytes], languages: list[str], k: int = CENTROIDS) -> Centroids:
-    if not texts:
+    return fit_counts(np.concatenate([np.zeros((0, DIMS), np.int64), *(counts(texts[i : i + ROWS]) for i in range(0, len(texts), ROWS))]), languages, k)
+
+
+def fit_counts(found: np.ndarray, languages: list[str], k: int = CENTROIDS) -> Centroids:
+    """Centroids from the n-gram counts of the training texts."""
+    if not len(found):
         return Centroids([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0))
-    found = np.concatenate([counts(texts[i : i + ROWS]).astype(np.int32) for i in range(0, len(texts), ROWS)])
-    idf = (np.log((1 + len(texts)) / (1 + (found > 0).sum(axis=0))) + 1).astype(np.float32)
+    idf = (np.log((1 + len(found)) / (1 + (found > 0).sum(axis=0))) + 1).astype(np.float32)
     x, names, parts, least = vectors(found, idf), [], [], []
     for language in sorted(set(languages)):
         own = x[[i for i, y in enumerate(languages) if y == language]]
         c = cluster(own, k)
+        c = c[np.unique((own @ c.T).argmax(axis=1))]  # a centroid that no text is nearest to says nothing of a distance
         near = own @ c.T
-        reach = near.max(axis=1)
-        least += [float(np.quantile(reach[near.argmax(axis=1) == i], 0.01)) * 0.5 if (near.argmax(axis=1) == i).any() else 0.0 for i in range(len(c))]
+        reach, first = near.max(axis=1), near.argmax(axis=1)
+        least += [float(np.quantile(reach[first == i], 0.01)) * 0.5 if (first == i).any() else float(reach.min()) * 0.5 for i in range(len(c))]
         names += [language] * len(c)
         parts.append(c)
     return Centroids(names, idf, np.concatenate(parts).astype(np.float32), np.array(least))
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Centroids:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS) & (crc_fold(F.col("doc_id"), FOLDS) != HELD))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            part = batch.slice(i, ROWS)
+            found = np.minimum(counts(texts_of(part.column(2))), 2**31 - 1).astype("<i4")
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "lang", "counts"])
+    give_back()
+
+
+def pick(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """doc_id of the first ids of each language by hash.
+
+    The ids that take part in the ranking are cut by a hash bound that leaves some more than are wanted of each
+    language, so no task ranks a whole language; a bound that leaves too few, as ids may repeat, is widened.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != HELD))
+    rows = stage(rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")), "languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = max(1, min(per_language, MAX_TEXTS // max(1, len(sizes))))
+    share = {lang: min(1.0, (most + 8 * most**0.5 + 20) / n) for lang, n in sizes.items()}
+    while True:
+        bounds = rows.sparkSession.createDataFrame([(lang, min(2**63 - 1, int(-(2**63) + s * 2**64))) for lang, s in share.items()], "lang string, most long")
+        near = rows.join(bounds, "lang").where(F.col("h") <= F.col("most")).select("lang", "doc_id", "h").distinct()
+        there = {r["lang"]: r["n"] for r in near.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        few = [lang for lang, s in share.items() if s < 1 and there.get(lang, 0) < most]
+        if not few:
+            break
+        share |= {lang: min(1.0, share[lang] * 8) for lang in few}
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    got = rows.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "lang").toArrow()
-    return fit(texts_of(got.column(0)), got.column(1).to_pylist())
+    out = stage(near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("doc_id").distinct(), "picked")
+    unstage(rows)
+    return out
+
+
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Centroids:
+    picked = pick(docs, per_language)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # at most PER_LANGUAGE ids a language and MAX_TEXTS in all, or one a language
+    chosen = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("t"))
+    got = chosen.select("doc_id", "t.lang", "t.text").mapInArrow(_counted, "doc_id long, lang string, counts binary").toArrow().sort_by("doc_id")
+    unstage(picked)
+    found = np.frombuffer(b"".join(got.column("counts").to_pylist()), "<i4").reshape(got.num_rows, DIMS)
+    return fit_counts(found, got.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, reject: bool = True) -> DataFrame:
@@ -135,6 +197,7 @@ def identify(docs: DataFrame, reject: bool = True) -> DataFrame:
                 part = batch.slice(i, ROWS)
                 names, score, far = model.predict(texts_of(part.column(1)))
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "lang_pred": pa.array([UND if reject and f else x for x, f in zip(names, far.tolist(), strict=True)], pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array(far, pa.bool_())})
+        give_back()
 
     held = crc_fold(F.col("doc_id"), FOLDS) == HELD
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
