@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset and Spark is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lattica.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("lattica.shared.dir", base)
     return base
@@ -50,7 +52,10 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast of an id table whose counted rows are few (some 40 MB); beyond ``limit`` the join shuffles."""
+    """Hint a broadcast of an id table whose counted rows are few (some 40 MB); beyond ``limit`` the join shuffles.
+
+    The rows that come out are the same either way.
+    """
     return F.broadcast(df) if rows <= limit else df
 
 
