@@ -434,17 +434,21 @@ def link_documents(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The first document of each component, with all its columns; documents without id or shingles stay.
 
-    Of several rows of one doc_id the first by text stays; only those rows are ranked.
+    Of several rows of one doc_id the first by text stays, a null text before others. That text is found with map-side
+    partial minima, and of rows that agree in id and text one is kept in the same way, so no task holds all rows of an
+    id. Extra columns may have any name.
     """
     found = stage(link_documents(docs), "linked")
     again = stage(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = found.where("doc_id is null or component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = found.where("doc_id is null or component_id = doc_id").select("doc_id").distinct()
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("document"), F.col("doc_id").cast("long").alias("id"))
+    out = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
     if again.isEmpty():
-        return out
-    first = Window.partitionBy("doc_id").orderBy("text")
-    ranked = out.join(again, "doc_id", "left_semi").withColumn("lattica_rank", F.row_number().over(first)).where("lattica_rank = 1").drop("lattica_rank")
-    return out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(ranked.select(docs.columns))
+        return out.select("document.*")
+    several = out.join(again, F.col("id") == F.col("doc_id"), "left_semi")
+    text = F.struct(F.col("document.text").isNotNull().alias("there"), F.col("document.text").alias("text"))
+    first = several.groupBy("id").agg(F.min_by("document", F.struct(text, F.xxhash64(F.to_json("document")))).alias("document"))
+    return out.join(again, F.col("id") == F.col("doc_id"), "left_anti").select("document.*").unionByName(first.select("document.*"))
 
 
 ORACLE = r"""
