@@ -4,9 +4,11 @@ Statistics of the whole text are plain column expressions. On a bounded sample o
 trees over the statistics are grown; every path from a root to a node becomes a conjunctive rule; a lasso logistic
 regression keeps few rules. The kept rules are compiled into one Spark expression, so scoring needs no Python.
 
-Defined results: a null text is scored as an empty one; a label row that is
-null or repeated for a document counts as the largest label given; with labels of one class only, or none at all,
-every score is the smoothed share of label 1 (0.5 without labels). Extra columns are ignored.
+Defined results: a null text is scored as an empty one, which has one empty word and one empty line; a text of any length is scored
+whole; a label row that is null or repeated for a document counts as the largest label given; of several texts of one
+labelled id the first by its statistics is learned; with labels of one class only, or none at all, every score is the
+smoothed share of label 1 (0.5 without labels). Repeated rows and rows without id stay, each with its score, and equal
+texts have equal scores. Extra columns are ignored or, in ``keep_good``, kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,9 +37,9 @@ def _left(text: Column, keep: str) -> Column:
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """The statistics by name, 0 where a text has nothing to count."""
+    """The statistics by name; a share of nothing is 0."""
     t = F.coalesce(text, F.lit(""))
-    words, lines = F.split(F.trim(t), _SPACE), F.split(t, "\n")
+    words, lines = F.split(F.btrim(t, F.lit(" \t\n\v\f\r")), _SPACE), F.split(t, "\n")
     chars, n_words, n_lines = F.length(t).cast("double"), F.size(words).cast("double"), F.size(lines).cast("double")
     per = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
     return {
@@ -197,7 +199,7 @@ def pick(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
 
 def learn(stats: DataFrame, picked: DataFrame) -> RuleEnsemble:
     """Fit on the picked rows; only their statistics reach the driver."""
-    rows = stats.join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("label", *NAMES).toArrow()
+    rows = stats.join(picked, "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", *NAMES)).alias("s")).orderBy("doc_id").select("s.*").toArrow()
     x = np.stack([rows.column(n).to_numpy() for n in NAMES], axis=1) if rows.num_rows else np.zeros((0, len(NAMES)))
     return fit_ensemble(x.astype(np.float64), rows.column("label").to_numpy().astype(np.float64))
 
@@ -211,7 +213,15 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose score reaches ``least``, with all their columns."""
+    """The documents whose score reaches ``least``, with all their columns.
+
+    The statistics are made once a row, in a projection of their own, and the rules read them by name.
+    """
     picked = pick(labels)
-    model = learn(with_statistics(docs.join(picked.select("doc_id"), "doc_id", "left_semi")), picked)
-    return docs.where(model.score(statistics(F.col("text"))) >= least)
+    few = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(picked.select(F.col("doc_id").alias("picked_id")), F.col("doc_id").cast("long") == F.col("picked_id"), "left_semi")
+    model = learn(with_statistics(few), picked)
+    document = F.struct(*[F.col(c) for c in docs.columns]).alias("document")
+    # a filter is not pushed below a projection that holds a random number; there each rule would count anew
+    rows = docs.select(document, F.array(*statistics(F.col("text")).values()).alias("statistics"), F.rand(0).alias("mark"))
+    score = model.score({n: F.col("statistics")[i] for i, n in enumerate(NAMES)})
+    return rows.where((score >= least) & (F.col("mark") >= 0)).select("document.*")

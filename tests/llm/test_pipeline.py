@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import corpus_pipeline
 import public_tokenizers
 import pytest
@@ -52,3 +54,47 @@ def test_tokens(stages):
 def test_run_is_the_stages_in_order(spark, stages):
     key = lambda r: (r["doc_id"], r["ids_sha256"])
     assert sorted(map(key, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(key, stages[-1].collect()))
+
+
+def test_odd_documents_go_through_all_stages(spark, odd, odd_rows, none):
+    """Nulls, empty and very long texts, ties and repeated rows, and extra columns whose names the stages use inside."""
+    inner = ["document", "kept_id", "target", "rest", "whole", "edge_bin", "size", "statistics", "mark", "upper", "lattica_rest", "doc_group", "row", "there", "number"]
+    for start, rows in ((odd, len(odd_rows)), (none, 0)):
+        docs = start
+        for name in inner:
+            docs = docs.withColumn(name, F.lit(name))
+        columns, counts = docs.columns, []
+        for k, (name, f) in enumerate(corpus_pipeline.STAGES):
+            docs = corpus_pipeline.stage(f(spark, docs, DATA), name)
+            counts.append(docs.count())
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == columns
+                assert {tuple(r) for r in docs.select(inner).distinct().collect()} <= {tuple(inner)}
+        assert rows >= counts[0] >= counts[1] == counts[2] and counts[3] == counts[4] and (rows == 0 or counts[1] > 0)
+
+
+def test_rejected_rows_are_those_the_rules_score_low(spark, stages):
+    """Stage 1 against a plain scoring from the fitted rules."""
+    from lattica.llm import quality
+    from lattica.llm.common import table
+
+    labels = quality.pick(table(spark, DATA, "labels"))
+    model = quality.learn(quality.with_statistics(stages[0]), labels)
+    rows = quality.with_statistics(stages[0]).collect()
+    score = lambda r: 1 / (1 + math.exp(-(model.intercept + sum(w for rule, w in model.rules if all((r[n] > t) if above else (r[n] <= t) for n, above, t in rule)))))
+    assert {r["doc_id"] for r in stages[1].select("doc_id").collect()} == {r["doc_id"] for r in rows if score(r) >= 0.5}
+
+
+def test_only_repeated_passages_go(spark, stages):
+    """Stage 3 against the runs that the operator itself reports, cut out one by one."""
+    from lattica.llm.substring import repeats
+
+    cuts = {}
+    for r in repeats(stages[2]).collect():
+        cuts.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    after = {r["doc_id"]: r["text"] for r in stages[3].collect()}
+    for r in stages[2].collect():
+        text = r["text"]
+        for start, length in sorted(cuts.get(r["doc_id"], []), reverse=True):
+            text = text[:start] + text[start + length :]
+        assert after[r["doc_id"]] == text
