@@ -25,7 +25,9 @@ from lattica.llm.common import crc_fold, stage
 MAX_LABELLED = 20_000
 #: Rows of the rule matrix that are numbers at once; it is held as truth values.
 BLOCK = 2048
-TREES, DEPTH, BINS, LEAF, RATE = 30, 3, 32, 8, 0.3
+TREES, DEPTH, BINS, RATE = 30, 3, 32, 0.3
+#: Rows of a leaf at least; fewer where less than LEAF * BINS rows are labelled, so that a rare kind of text has leaves.
+LEAF = 8
 FOLDS, HELD = 3, 1
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -64,12 +66,12 @@ Rule = tuple[tuple[str, bool, float], ...]
 
 def _grow(x: np.ndarray, codes: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray) -> list[tuple[tuple, np.ndarray, float]]:
     """One tree on gradients: every node below the root as (path of (feature, above, threshold), members, step)."""
-    nodes, todo = [], [((), np.arange(len(x)), 0)]
+    nodes, todo, leaf = [], [((), np.arange(len(x)), 0)], min(LEAF, max(2, len(x) // BINS))
     while todo:
         path, rows, depth = todo.pop()
         if path:
             nodes.append((path, rows, -g[rows].sum() / (h[rows].sum() + 1.0)))
-        if depth == DEPTH or len(rows) < 2 * LEAF:
+        if depth == DEPTH or len(rows) < 2 * leaf:
             continue
         best = (1e-6, -1, 0)
         total_g, total_h = g[rows].sum(), h[rows].sum()
@@ -79,7 +81,7 @@ def _grow(x: np.ndarray, codes: np.ndarray, edges: list[np.ndarray], g: np.ndarr
             k = len(edges[f]) + 1
             gs, hs, ns = (np.cumsum(np.bincount(codes[rows, f], weights=w, minlength=k))[:-1] for w in (g[rows], h[rows], np.ones(len(rows))))
             gain = gs**2 / (hs + 1) + (total_g - gs) ** 2 / (total_h - hs + 1) - total_g**2 / (total_h + 1)
-            gain[(ns < LEAF) | (len(rows) - ns < LEAF)] = -1
+            gain[(ns < leaf) | (len(rows) - ns < leaf)] = -1
             at = int(gain.argmax())
             if gain[at] > best[0]:
                 best = (float(gain[at]), f, at)
@@ -93,9 +95,13 @@ def _grow(x: np.ndarray, codes: np.ndarray, edges: list[np.ndarray], g: np.ndarr
 
 
 def rules_of(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = NAMES) -> list[Rule]:
-    """The distinct paths of boosted trees as rules; thresholds are inner quantiles of a statistic."""
-    edges = [np.unique(np.quantile(x[:, f], np.arange(1, BINS) / BINS)) for f in range(x.shape[1])]
-    edges = [np.round(e[e < x[:, f].max()], 6) for f, e in enumerate(edges)]
+    """The distinct paths of boosted trees as rules; thresholds stand midway between two values, near inner quantiles."""
+    edges = []
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        at = np.unique(np.searchsorted(values, np.quantile(x[:, f], np.arange(1, BINS) / BINS), side="right") - 1)
+        at = at[at < len(values) - 1]
+        edges.append(np.unique(np.round((values[at] + values[at + 1]) / 2, 6)))
     codes = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
     margin, found = np.full(len(x), np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), {}
     for _ in range(TREES):

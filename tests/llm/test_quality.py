@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lattica.llm import quality
@@ -64,3 +69,37 @@ def test_truth_values_are_fitted_as_numbers():
     other, c = quality.lasso(z.astype(float), y, 0.003)
     assert w == pytest.approx(other, abs=1e-3) and b == pytest.approx(c, abs=1e-3)
     assert quality.MAX_LABELLED == 20_000
+
+
+def plain_statistics(text):
+    """The statistics of a text, counted by hand."""
+    t = text or ""
+    words = re.split(r"[\x20\x09-\x0D]+", t.strip(" \t\n\v\f\r"))
+    lines, n = t.split("\n"), len(t)
+    kind = lambda c: regex.match(r"\p{Lu}", c) is not None
+    per = lambda a, b: a / b if b else 0.0
+    return {
+        "log_words": math.log1p(len(words)), "word_length": per(n, len(words)), "distinct_words": per(len(set(words)), len(words)),
+        "distinct_lines": per(len(set(lines)), len(lines)), "words_per_line": per(len(words), len(lines)), "upper": per(sum(map(kind, t)), n),
+        "digits": per(sum(c in "0123456789" for c in t), n), "symbols": per(sum(c in "#$%&*@~^=+<>{}[]\\/_" for c in t), len(words)),
+        "bars": per(t.count("|"), len(words)), "bangs": per(sum(c in "!?" for c in t), len(words)), "stops": per(sum(c in ".,;:" for c in t), len(words)),
+    }
+
+
+def test_scores_against_a_plain_scoring_of_all_rows(spark, odd, odd_rows):
+    """Statistics by hand and the fitted rules written out, for every row of a table and of the odd documents."""
+    small = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    odd_labels = spark.createDataFrame([(10, 1), (11, 1), (22, 0), (23, 0), (30, 1), (31, 0)], "doc_id long, quality int")
+    for df, given, rows in ((docs, labels, [(r["doc_id"], r["text"]) for r in docs.collect()]), (odd, odd_labels, [(i, t) for i, t, *_ in odd_rows])):
+        model = quality.learn(quality.with_statistics(df), quality.pick(given))
+        want = []
+        for i, t in rows:
+            x = plain_statistics(t)
+            margin = model.intercept + sum(w for rule, w in model.rules if all((x[n] > at) if above else (x[n] <= at) for n, above, at in rule))
+            want.append((i, 1 / (1 + math.exp(-margin)), zlib.crc32(str(i).encode()) % 3 == 1 if i is not None else False))
+        found = quality.scores(df, given).collect()
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        for r, (i, score, held) in zip(sorted(((r["doc_id"], r["score"], r["held_out"], r["predicted"]) for r in found), key=key), sorted(want, key=key), strict=True):
+            assert (r[0], r[2], r[3]) == (i, held, int(score >= 0.5)) and r[1] == pytest.approx(score)
+        assert sorted((r["doc_id"] for r in quality.keep_good(df, given).collect()), key=str) == sorted((i for i, score, _ in want if score >= 0.5), key=str)
