@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from lattica.errors import ValidationError
+from lattica.operators.flatten import flatten
 from lattica.operators.slices import Slice, apply_slice
 from lattica.plans.lower import lower, wrapping
 from lattica.plans.parser import parse
 from lattica.plans.tree import Select
 from lattica.sources.catalog import Catalog
-from lattica.streaming.control import Running
+from lattica.streaming.control import Running, pages
 
 
 class Engine:
@@ -29,21 +30,45 @@ class Engine:
 
     def plan(self, statement: str | Select) -> DataFrame:
         """The statement as a DataFrame; nothing runs."""
-        tree = parse(statement) if isinstance(statement, str) else statement
-        if tree.source is None:
-            raise ValidationError("FROM is missing")
+        tree = self._tree(statement)
         with wrapping(self.spark):
             df = self.catalog.source(tree.source)
-        return lower(df, tree, self.exact_quantiles, self.sql_having)
+        return self._lowered(df, tree)
 
     sql = plan
 
+    def _tree(self, statement: str | Select) -> Select:
+        tree = parse(statement) if isinstance(statement, str) else statement
+        if tree.source is None:
+            raise ValidationError("FROM is missing")
+        return tree
+
+    def _lowered(self, df: DataFrame, tree: Select) -> DataFrame:
+        return lower(df, tree, self.exact_quantiles, self.sql_having)
+
     def sliced(self, statement: str, table: str, s: Slice) -> DataFrame:
         return self.plan(apply_slice(statement, table, s))
 
-    def submit(self, statement: str | Select, timeout: float | None = None) -> Running:
-        """Run a statement in the background."""
-        return Running(self.spark, self.plan(statement), timeout or self.timeout)
+    def pages(self, statement: str | Select, size: int = 1000) -> Iterator[list[Row]]:
+        """The rows of a statement in pages; the driver holds one partition of the result at a time."""
+        return pages(self.plan(statement), size)
+
+    def submit(self, statement: str | Select, timeout: float | None = None, on_update: Callable[[list[Row], float], None] | None = None, path: str | None = None) -> Running:
+        """Run a statement in the background.
+
+        ``on_update`` gets partial results: the rows of the statement over the first part of the table, the first two,
+        four and so on, each with the share of the parts; together they cost no more than the whole once again.
+        ``path``: where the rows are written instead of being handed over.
+        """
+        tree, before = self._tree(statement), []
+        if on_update is not None:
+            parts = self.catalog.prefixes(tree.source.table)
+            total = self.catalog.part_count(tree.source.table)
+            for k, df in enumerate(parts):
+                with wrapping(self.spark):
+                    df = flatten(df, tree.source.flatten) if tree.source.flatten else df
+                before.append((2**k / total, self._lowered(df, tree)))
+        return Running(self.spark, self.plan(tree), timeout or self.timeout, before=before, on_update=on_update, path=path)
 
     def prepare_flatten(self, table: str, field: str) -> None:
         self.catalog.prepare_flatten(table, field)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,16 +21,21 @@ from lattica.sources.schema import DEFAULT, SPARK_TYPE
 _TEST = {"=": lambda a, b: a == b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
 
+#: One thread at a time builds a plan, as the mode below belongs to the session.
+_BUILDING = RLock()
+
+
 @contextmanager
 def wrapping(spark: SparkSession) -> Iterator[None]:
     """Plans built inside wrap LONG arithmetic; the mode is fixed when an expression is built."""
     key = "spark.sql.ansi.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    with _BUILDING:
+        before = spark.conf.get(key, None)
+        spark.conf.set(key, "false")
+        try:
+            yield
+        finally:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def _compare(op: str, left: Node, right: Node) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
+from decimal import Decimal
 from typing import Union
 
 LONG, DOUBLE, STRING = "LONG", "DOUBLE", "STRING"
@@ -94,10 +96,12 @@ class Select:
 def quote(value: int | float | str) -> str:
     """A literal as text that parses to it."""
     if isinstance(value, str):
-        return "'" + value.replace("'", "\\'") + "'"
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
     if isinstance(value, float):
-        text = f"{value:.17f}".rstrip("0") if "e" in repr(value) else repr(value)
-        return text
+        if not math.isfinite(value):
+            raise ValueError(f"{value} has no literal")
+        text = format(Decimal(repr(value)), "f")
+        return text if "." in text else text + ".0"
     return str(value)
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica import service_queries
 from lattica.engine import Engine
 from lattica.operators.slices import Slice
 
@@ -79,6 +80,19 @@ FLAT: dict[str, tuple[str, str, str, str]] = {
     "group_host": ("select topleveldomain(url), count() from pages group by topleveldomain(url)", "t n", "SELECT regexp_extract(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '([^.]+\\.[a-zA-Z]+)$', 1) AS t, count(*) AS n FROM pages GROUP BY 1", ""),
     "time_as_long": ("select event_id, div(ts, 1000000) from events where ts > 0", "k s", "SELECT event_id AS k, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS s FROM events", ""),
     "vec_sum": ("select vec_id, sum(embedding[*]), max(embedding[*]), embedding[length], embedding[3] from embeddings", "k s m n x", "SELECT vec_id AS k, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS s, CAST(list_max(embedding) AS DOUBLE) AS m, len(embedding) AS n, CAST(embedding[4] AS DOUBLE) AS x FROM embeddings", "s"),
+    "filter_eq_columns": ("select l_orderkey, l_linenumber, l_suppkey from lineitem where l_linenumber = l_suppkey", "k n s", "SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS n, l_suppkey AS s FROM lineitem WHERE l_linenumber = l_suppkey", ""),
+    "agg_var_rsd_long": ("select l_linestatus, var(l_linenumber), rsd(l_linenumber), sd(l_quantity) from lineitem group by l_linestatus", "status v r s", "SELECT l_linestatus AS status, round(var_pop(l_linenumber), 4) AS v, round(stddev_pop(l_linenumber) / avg(l_linenumber), 4) AS r, round(stddev_pop(l_quantity), 4) AS s FROM lineitem GROUP BY 1", "v r s"),
+    "agg_qvc_long": ("select l_returnflag, qvc(l_linenumber) from lineitem group by l_returnflag", "flag q", "SELECT l_returnflag AS flag, round((quantile_cont(CAST(l_linenumber AS DOUBLE), 0.75) - quantile_cont(CAST(l_linenumber AS DOUBLE), 0.25)) / (quantile_cont(CAST(l_linenumber AS DOUBLE), 0.75) + quantile_cont(CAST(l_linenumber AS DOUBLE), 0.25)), 4) AS q FROM lineitem GROUP BY 1", "q"),
+    "fn_id_double": ("select o_orderkey, id(o_totalprice), id(2.5) from orders", "k p x", "SELECT o_orderkey AS k, o_totalprice AS p, CAST(2.5 AS DOUBLE) AS x FROM orders", ""),
+    "fn_string_double": ("select l_orderkey, l_linenumber, string(l_quantity), string(l_discount) from lineitem", "k n q d", "SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS n, CAST(l_quantity AS VARCHAR) AS q, CAST(l_discount AS VARCHAR) AS d FROM lineitem", ""),
+    "fn_parse": ("select o_orderkey, int(string(o_custkey)), double(string(o_custkey)) from orders", "k i d", "SELECT o_orderkey AS k, o_custkey AS i, CAST(o_custkey AS DOUBLE) AS d FROM orders", ""),
+    "fn_wrap": ("select o_orderkey, add(9223372036854775807, o_orderkey), mul(o_orderkey, 9223372036854775807) from orders where o_orderkey > 0", "k a m", "SELECT o_orderkey AS k, CAST(-9223372036854775808 AS BIGINT) + (o_orderkey - 1) AS a, CASE WHEN o_orderkey % 2 = 0 THEN -o_orderkey ELSE 9223372036854775807 - (o_orderkey - 1) END AS m FROM orders WHERE o_orderkey > 0", ""),
+    "ieee_division": ("select o_orderkey from orders where div(o_totalprice, 0.) > 1000000000. and div(sub(0., o_totalprice), 0.) < -1000000000.", "k", "SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 0", ""),
+    "ieee_nan_equal": ("select o_orderkey from orders where div(sub(o_totalprice, o_totalprice), 0.) = log(sub(0., o_totalprice))", "k", "SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 0", ""),
+    "ieee_log_zero": ("select o_orderkey from orders where log(sub(o_orderkey, o_orderkey)) < -1000000000.", "k", "SELECT o_orderkey AS k FROM orders", ""),
+    "empty_result": ("select o_orderkey, o_totalprice from orders where o_orderkey < 0", "k p", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey < 0", ""),
+    "keyword_case": ("SELECT n_name FROM nation WHERE NOT n_regionkey = 1 ORDER BY n_name LIMIT 4", "n", "SELECT n_name AS n FROM nation WHERE n_regionkey <> 1 ORDER BY 1 LIMIT 4", ""),
+    "not_in_both": ("select l_suppkey, count() from lineitem where not l_linenumber > 3 group by l_suppkey having not count() < 300", "k n", "SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE NOT l_linenumber > 3 GROUP BY 1 HAVING NOT count(*) < 300", ""),
 }
 
 _ITEMS = "FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey"
@@ -132,3 +146,5 @@ _SLICE_SQL = "SELECT l_returnflag AS flag, count(*) AS n FROM lineitem WHERE l_l
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in FLAT | NESTED} | {"slice": slice_query}
 ORACLE_SQL: dict[str, str] = {n: e[2] for n, e in (FLAT | NESTED).items()} | {"slice": _SLICE_SQL}
+QUERIES |= service_queries.QUERIES
+ORACLE_SQL |= service_queries.ORACLE_SQL

@@ -19,8 +19,8 @@ from lattica.sources.schema import Field
 class Catalog:
     """Registered tables, their flattened forms, and who may read them."""
 
-    def __init__(self, spark: SparkSession, may_read: Callable[[str], bool] | None = None):
-        self.spark, self.may_read = spark, may_read
+    def __init__(self, spark: SparkSession, may_read: Callable[[str], bool] | None = None, flat_mb: float = 4096.0):
+        self.spark, self.may_read, self.flat_mb = spark, may_read, flat_mb
         self._parts: dict[str, list[DataFrame]] = {}
         self._flat: dict[tuple[str, str], DataFrame] = {}
 
@@ -64,7 +64,19 @@ class Catalog:
         if self.may_read is not None and not self.may_read(name):
             raise AccessError(f"no access to table {name}")
         parts = self._parts[name]
-        return parts[0] if len(parts) == 1 else ingest.union(parts)
+        return parts[0] if len(parts) == 1 else ingest.united(parts)
+
+    def part_count(self, name: str) -> int:
+        return len(self._parts[name])
+
+    def prefixes(self, name: str) -> list[DataFrame]:
+        """The table's first part, first two, four and so on, short of all of them."""
+        self.table(name)
+        parts, out, n = self._parts[name], [], 1
+        while n < len(parts):
+            out.append(parts[0] if n == 1 else ingest.united(parts[:n]))
+            n *= 2
+        return out
 
     def fields(self, name: str) -> list[Field]:
         return table_fields(self.table(name).schema)
@@ -73,12 +85,30 @@ class Catalog:
         df = self.table(source.table)
         if source.flatten is None:
             return df
-        return self._flat.get((source.table, str(source.flatten))) or flatten(df, source.flatten)
+        key = (source.table, str(source.flatten))
+        if key not in self._flat:
+            return flatten(df, source.flatten)
+        self._flat[key] = found = self._flat.pop(key)  # the last used comes last
+        return found
 
     def prepare_flatten(self, name: str, field: str) -> None:
-        """Keep the flattened table, in memory and then on disk, for later statements."""
+        """Keep the flattened table, in memory and then on disk, for later statements.
+
+        Those used longest ago make room when the tables kept are estimated at over ``flat_mb``; a table that is
+        estimated at more by itself is not kept, and is flattened anew by each statement.
+        """
         path = parse(f"select x from flatten({name}, {field})").source.flatten
         assert isinstance(path, Path)
         key = (name, str(path))
-        if key not in self._flat:
-            self._flat[key] = flatten(self.table(name), path).persist(StorageLevel.MEMORY_AND_DISK)
+        if key in self._flat:
+            return
+        df = flatten(self.table(name), path)
+        if _estimated_mb(df) > self.flat_mb:
+            return
+        while self._flat and sum(map(_estimated_mb, self._flat.values())) + _estimated_mb(df) > self.flat_mb:
+            self._flat.pop(next(iter(self._flat))).unpersist()
+        self._flat[key] = df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _estimated_mb(df: DataFrame) -> float:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 2**20

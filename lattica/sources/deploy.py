@@ -7,6 +7,7 @@ file beside it, one that cannot be loaded a `.failure` file with the reason.
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -56,24 +57,51 @@ def parse_descriptor(text: str, folder: str = "") -> Descriptor:
     return Descriptor(path, values["type"], values["table"], types, values.get("defaultColumnType", STRING), flat)
 
 
+#: How often a descriptor is tried; its data may still be on the way.
+TRIES = 5
+
+
 class Deployment:
-    """Keeps a catalog in step with the descriptors of a folder."""
+    """Keeps a catalog in step with the descriptors of a folder, at each ``scan`` or, after ``watch``, by itself.
+
+    A descriptor that cannot be loaded is tried again at the next scans, ``TRIES`` times in all, and again once it
+    changes.
+    """
 
     def __init__(self, catalog: Catalog, folder: str):
         self.catalog, self.folder = catalog, Path(folder)
         self._loaded: dict[Path, tuple[str, DataFrame]] = {}
-        self._failed: dict[Path, float] = {}
+        self._failed: dict[Path, tuple[float, int]] = {}
+        self._stop, self._watcher, self._lock = threading.Event(), None, threading.Lock()
+
+    def watch(self, seconds: float = 1.0) -> None:
+        """Scan every so often on a thread of its own, until ``stop``."""
+        if self._watcher is None:
+            self._stop.clear()
+
+            def run() -> None:
+                while not self._stop.wait(seconds):
+                    self.scan()
+
+            self._watcher = threading.Thread(target=run, daemon=True)
+            self._watcher.start()
+
+    def stop(self) -> None:
+        self._stop.set()
+        if self._watcher is not None:
+            self._watcher.join()
+            self._watcher = None
 
     def scan(self) -> None:
         """Load new descriptors and unload those that are gone."""
-        there = sorted(self.folder.glob("*.control"))
-        for path in [p for p in self._loaded if p not in there]:
-            self.unload(path)
-        for path in there:
-            changed = path.stat().st_mtime
-            if path not in self._loaded and self._failed.get(path) != changed:
-                self._failed.pop(path, None)
-                self.load(path)
+        with self._lock:
+            there = sorted(self.folder.glob("*.control"))
+            for path in [p for p in self._loaded if p not in there]:
+                self.unload(path)
+            for path in there:
+                changed, tries = self._failed.get(path, (0.0, 0))
+                if path not in self._loaded and (tries < TRIES or changed != path.stat().st_mtime):
+                    self.load(path)
 
     def load(self, path: Path) -> None:
         ready, failure = path.with_suffix(".ready"), path.with_suffix(".failure")
@@ -86,9 +114,12 @@ class Deployment:
             for f in d.auto_flatten:
                 self.catalog.prepare_flatten(d.table, f)
         except Exception as e:  # the reason goes to the file; the folder's other tables stay
-            self._failed[path] = path.stat().st_mtime
+            changed, tries = self._failed.get(path, (0.0, 0))
+            now = path.stat().st_mtime
+            self._failed[path] = (now, tries + 1 if changed == now else 1)
             failure.write_text(f"{type(e).__name__}: {e}\n")
             return
+        self._failed.pop(path, None)
         self._loaded[path] = (d.table, df)
         ready.write_text("")
 

@@ -1,11 +1,14 @@
 """Reading JSON, CSV and Parquet files as tables of value types, and writing tables.
 
-JSON files hold an array of objects (or an object a line); a missing or null field becomes the default of its type.
+JSON files hold an array of objects, or an object a line; a missing or null field becomes the default of its type.
+Files with an object a line are split into tasks. A file that holds an array is read by one task, whatever its size;
+``convert`` turns it once into files that split.
 CSV files need a header; columns are STRING unless told otherwise, and empty cells become the default.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +18,7 @@ from pyspark.sql import types as T
 from lattica.errors import LoadError
 from lattica.plans.tree import DOUBLE, LONG, STRING
 from lattica.sources.metadata import merge_schemas, table_fields
-from lattica.sources.schema import DEFAULT, SPARK_TYPE, normal, normal_type, value_type
+from lattica.sources.schema import DEFAULT, SPARK_TYPE, normal, raw, value_type
 
 FORMATS = ("json", "csv", "parquet")
 
@@ -60,10 +63,26 @@ def _parsed(name: str, kind: str) -> Column:
     return F.when(empty, F.lit(DEFAULT[kind]).cast(SPARK_TYPE[kind])).otherwise(F.coalesce(F.trim(text).try_cast(SPARK_TYPE[kind]), bad)).alias(name)
 
 
+def _by_lines(spark: SparkSession, path: str) -> bool:
+    """Does each line of the files hold an object of its own; judged by their first line that is not blank."""
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.ltrim("value").alias("value")).first()
+    if first is None or not first["value"].startswith("{"):
+        return False
+    try:
+        return isinstance(json.loads(first["value"]), dict)
+    except ValueError:
+        return False
+
+
 def read_json(spark: SparkSession, path: str | Sequence[str], types: Mapping[str, str] | None = None) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
-    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("prefersDecimal", False).json(paths)
-    return normalise(_retyped(df, _checked(types or {})))
+    lines = [p for p in paths if _by_lines(spark, p)]
+    found = []
+    for whole, of in ((False, lines), (True, [p for p in paths if p not in lines])):
+        if of:
+            found.append(spark.read.option("multiLine", whole).option("mode", "FAILFAST").option("prefersDecimal", False).json(of))
+    parts = [normalise(_retyped(df, _checked(types or {}))) for df in found]
+    return parts[0] if len(parts) == 1 else union(parts)
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], types: Mapping[str, str] | None = None, default_type: str = STRING) -> DataFrame:
@@ -94,11 +113,20 @@ def read(spark: SparkSession, kind: str, path: str | Sequence[str], types: Mappi
 
 def union(parts: Sequence[DataFrame]) -> DataFrame:
     """Several inputs as one table: the union of their fields, with defaults where an input has none."""
+    return normalise(united(parts))
+
+
+def united(parts: Sequence[DataFrame]) -> DataFrame:
+    """``union`` with nulls in place of defaults, which a statement puts in where it reads a field.
+
+    A field that has a value type already stays as it is, so filters and the choice of columns reach the files of each
+    part as they do for a table of one part.
+    """
     merged = merge_schemas([p.schema for p in parts])
     out = None
     for p in parts:
-        p = normalise(p)
-        shaped = p.select(*[_shape(F.col(f"`{f.name}`") if f.name in p.columns else None, next((x.dataType for x in p.schema.fields if x.name == f.name), None), f.dataType).alias(f.name) for f in merged.fields])
+        kinds = {f.name: f.dataType for f in p.schema.fields}
+        shaped = p.select(*[_shape(F.col(f"`{f.name}`") if f.name in kinds else None, kinds.get(f.name), f.dataType).alias(f.name) for f in merged.fields])
         out = shaped if out is None else out.unionByName(shaped)
     if out is None:
         raise LoadError("there is nothing to unite")
@@ -106,28 +134,33 @@ def union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def _shape(c: Column | None, have: T.DataType | None, want: T.DataType) -> Column:
-    """A field in the merged type."""
+    """A field in the merged type, null where it is missing."""
     if c is None or have is None:
-        if isinstance(want, T.StructType):
-            return F.struct(*[_shape(None, None, f.dataType).alias(f.name) for f in want.fields])
-        if isinstance(want, T.ArrayType):
-            return F.array().cast(want)
-        return F.lit(DEFAULT[value_type(want)]).cast(want)
-    if normal_type(have) == want:
+        return F.lit(None).cast(want)
+    if have.simpleString() == want.simpleString():
         return c
     if isinstance(want, T.ArrayType):
         return F.transform(c, lambda x: _shape(x, have.elementType, want.elementType))
-    mine = {f.name: f.dataType for f in have.fields}
-    return F.struct(*[_shape(c.getField(f.name) if f.name in mine else None, mine.get(f.name), f.dataType).alias(f.name) for f in want.fields])
+    if isinstance(want, T.StructType):
+        mine = {f.name: f.dataType for f in have.fields}
+        return F.struct(*[_shape(c.getField(f.name) if f.name in mine else None, mine.get(f.name), f.dataType).alias(f.name) for f in want.fields])
+    return raw(c, have)
+
 
+def write(df: DataFrame, path: str, comment: str = "", mode: str = "error", files: int | None = None, file_mb: float | None = None) -> None:
+    """Write a table in value types as Parquet; the comment goes into the files' schema metadata.
 
-def write(df: DataFrame, path: str, comment: str = "", mode: str = "error", files: int | None = None) -> None:
-    """Write a table in value types as Parquet; the comment goes into the files' schema metadata."""
+    ``file_mb``: a task begins another file after so many MB, judged by the length of the first thousand rows as text.
+    """
     out = normalise(df)
     if comment and out.columns:
         first = out.columns[0]
         out = out.withMetadata(first, {"comment": comment})
-    (out.coalesce(files) if files else out).write.mode(mode).parquet(path)
+    writer = (out.coalesce(files) if files else out).write.mode(mode)
+    if file_mb is not None:
+        length = out.limit(1000).select(F.avg(F.length(F.to_json(F.struct("*"))))).first()[0] or 1.0
+        writer = writer.option("maxRecordsPerFile", max(1, int(file_mb * 2**20 / length)))
+    writer.parquet(path)
 
 
 def info(spark: SparkSession, path: str) -> dict[str, object]:
