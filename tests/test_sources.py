@@ -9,9 +9,9 @@ from lattica.engine import Engine
 from lattica.errors import LoadError
 from lattica.operators.slices import Slice, slice_text, with_order
 from lattica.plans.parser import parse
-from lattica.plans.tree import render
+from lattica.plans.tree import quote, render
 from lattica.sources import ingest
-from lattica.sources.deploy import Deployment, parse_descriptor
+from lattica.sources.deploy import TRIES, Deployment, parse_descriptor
 from lattica.sources.schema import Field
 
 
@@ -51,12 +51,12 @@ def test_csv(spark, tmp_path):
 
 def test_parts_of_a_table_must_agree(spark):
     e = Engine(spark)
-    e.catalog.add("t", spark.createDataFrame([(1,)], "field1 int"))
-    e.catalog.add("t", spark.createDataFrame([("x", [1])], "field2 string, r array<long>"))
-    assert e.catalog.fields("t") == [Field("field1", "LONG", False), Field("field2", "STRING", False), Field("r", "LONG", True)]
-    assert sorted(tuple(r) for r in e.sql("select field1, field2, r[length] from t").collect()) == [(-1, "x", 1), (1, "", 0)]
-    with pytest.raises(LoadError, match="field2"):
-        e.catalog.add("t", spark.createDataFrame([(1,)], "field2 long"))
+    e.catalog.add("t", spark.createDataFrame([(1,)], "width int"))
+    e.catalog.add("t", spark.createDataFrame([("x", [1])], "label string, r array<long>"))
+    assert e.catalog.fields("t") == [Field("width", "LONG", False), Field("label", "STRING", False), Field("r", "LONG", True)]
+    assert sorted(tuple(r) for r in e.sql("select width, label, r[length] from t").collect()) == [(-1, "x", 1), (1, "", 0)]
+    with pytest.raises(LoadError, match="label"):
+        e.catalog.add("t", spark.createDataFrame([(1,)], "label long"))
     with pytest.raises(LoadError, match="r is repeated"):
         e.catalog.add("t", spark.createDataFrame([(1,)], "r long"))
 
@@ -94,19 +94,77 @@ def test_row_builder(spark):
 
 
 def test_deployment(spark, tmp_path):
-    put(tmp_path / "age.json", [{"age": 5, "r": [1, 2]}, {"age": 5, "r": [3]}, {"age": 1}])
-    (tmp_path / "age.control").write_text("# ages\nfile=age.json\ntype=json\ntable=age\nfirstRowId=0\nautoFlatten=r[*]\n")
+    put(tmp_path / "stock.json", [{"shelf": 8, "r": [4, 6]}, {"shelf": 8, "r": [1]}, {"shelf": 2}])
+    (tmp_path / "stock.control").write_text("# what is there\nfile=stock.json\ntype=json\ntable=stock\nfirstRowId=0\nautoFlatten=r[*]\n")
     (tmp_path / "bad.control").write_text("file=nowhere.json\ntype=json\ntable=bad\n")
     e = Engine(spark)
     d = Deployment(e.catalog, str(tmp_path))
     d.scan()
-    assert e.catalog.tables() == ["age"]
-    assert (tmp_path / "age.ready").exists() and (tmp_path / "bad.failure").read_text()
-    assert [tuple(r) for r in e.sql("select age, count() from age group by age order by count() desc").collect()] == [(5, 2), (1, 1)]
-    assert [tuple(r) for r in e.sql("select sum(r) from flatten(age, r[*]) group by id(age)").collect()] == [(6,)]
-    (tmp_path / "age.control").unlink()
+    assert e.catalog.tables() == ["stock"]
+    assert (tmp_path / "stock.ready").exists() and (tmp_path / "bad.failure").read_text()
+    assert [tuple(r) for r in e.sql("select shelf, count() from stock group by shelf order by shelf").collect()] == [(2, 1), (8, 2)]
+    assert [tuple(r) for r in e.sql("select sum(r) from flatten(stock, r[*]) group by id(shelf)").collect()] == [(11,)]
+    (tmp_path / "stock.control").unlink()
     d.scan()
-    assert e.catalog.tables() == [] and not (tmp_path / "age.ready").exists()
+    assert e.catalog.tables() == [] and not (tmp_path / "stock.ready").exists()
+
+
+def test_descriptors_are_tried_again(spark, tmp_path):
+    e = Engine(spark)
+    d = Deployment(e.catalog, str(tmp_path))
+    (tmp_path / "late.control").write_text("file=late.json\ntype=json\ntable=late\n")
+    d.scan()
+    assert (tmp_path / "late.failure").exists()
+    put(tmp_path / "late.json", '{"a": 1}\n{"a": 2}\n')
+    d.scan()
+    assert e.catalog.tables() == ["late"] and not (tmp_path / "late.failure").exists()
+    (tmp_path / "never.control").write_text("file=never.json\ntype=json\ntable=never\n")
+    for _ in range(TRIES + 2):
+        d.scan()
+    assert d._failed[tmp_path / "never.control"][1] == TRIES
+
+
+def test_json_with_an_object_a_line(spark, tmp_path):
+    lines = put(tmp_path / "l.json", '\n  {"a": 1}\n{"a": 2, "b": "x"}\n{"b": null}\n')
+    assert sorted(tuple(r) for r in ingest.read_json(spark, lines).collect()) == [(-1, ""), (1, ""), (2, "x")]
+    spread = put(tmp_path / "s.json", '{\n "a": 5\n}')
+    array = put(tmp_path / "a.json", '[\n {"a": 7},\n {"a": 8}\n]')
+    assert sorted(r["a"] for r in ingest.read_json(spark, [lines, spread, array]).collect()) == [-1, 1, 2, 5, 7, 8]
+
+
+def test_filters_and_columns_reach_the_files_of_each_part(spark, tmp_path):
+    e = Engine(spark)
+    for k, kind in enumerate(("int", "long")):
+        spark.createDataFrame([(k, 2, [(1, "3")])], f"a {kind}, b long, c array<struct<x:long,z:string>>").write.parquet(str(tmp_path / str(k)))
+        e.catalog.load("p", "parquet", str(tmp_path / str(k)))
+    found = e.sql("select sum(c[*].x) from p where a > 0 and b = 2")._jdf.queryExecution().executedPlan().toString()
+    assert found.count("GreaterThan(a,0)") == 2 and found.count("EqualTo(b,2)") == 2
+    assert "struct<a:int,b:bigint,c:array<struct<x:bigint>>>" in found and "struct<a:bigint,b:bigint,c:array<struct<x:bigint>>>" in found
+
+
+def test_files_of_bounded_size(spark, tmp_path):
+    ingest.write(spark.range(20_000).coalesce(1), str(tmp_path / "w"), file_mb=0.05)
+    assert len(list((tmp_path / "w").glob("*.parquet"))) > 3 and spark.read.parquet(str(tmp_path / "w")).count() == 20_000
+
+
+def test_flattened_tables_are_bounded(spark):
+    e = Engine(spark)
+    for name in ("a", "b"):
+        e.catalog.register(name, spark.createDataFrame([([1, 2],)], "r array<long>"))
+        e.prepare_flatten(name, "r[*]")
+    assert len(e.catalog._flat) == 2
+    e.catalog.flat_mb = 0.0
+    e.catalog.register("c", spark.createDataFrame([([1, 2],)], "r array<long>"))
+    e.prepare_flatten("c", "r[*]")
+    assert ("c", "r[*]") not in e.catalog._flat
+    assert e.sql("select sum(r) from flatten(c, r[*]) group by id(string(r))").count() == 2
+
+
+@pytest.mark.parametrize("value", [1e-20, 1e300, -2.5, 0.1, "a\\", "it's \\' so", "\\\\", "", 5, -7])
+def test_literals_parse_back(value):
+    text = f"select a from t where a = {quote(value)}"
+    assert parse(text).where.right.value == value
+    assert parse(render(parse(text))) == parse(text)
 
 
 @pytest.mark.parametrize("text", ["type=json\ntable=t", "file=a\ntype=avro\ntable=t", "file=a\ntype=csv", "nonsense", "file=a\ntype=csv\ntable=t\nother=1", "file=a\ntype=csv\ntable=t\nfirstRowId=x"])
@@ -134,6 +192,22 @@ def test_background_statement(spark):
     e.catalog.register("t", spark.range(10))
     run = e.submit("select sum(id) from t group by div(id, 100)")
     assert run.result(60)[0][0] == 45 and run.percent() == 100
+    assert run.statistics().jobs >= 1 and run.statistics().failed_tasks == 0
+
+
+def test_pages(spark):
+    e = Engine(spark)
+    e.catalog.register("t", spark.range(25))
+    assert [len(p) for p in e.pages("select id from t order by id", 10)] == [10, 10, 5]
+
+
+def test_partial_results_of_a_flattened_table(spark):
+    e, found = Engine(spark), []
+    for k in range(3):
+        e.catalog.add("t", spark.createDataFrame([([k, 1],)], "r array<long>"))
+    run = e.submit("select r, count() from flatten(t, r[*]) group by r order by r", on_update=lambda rows, share: found.append((share, [tuple(r) for r in rows])))
+    assert [tuple(r) for r in run.result(60)] == [(0, 1), (1, 4), (2, 1)]
+    assert found == [(1 / 3, [(0, 1), (1, 1)]), (2 / 3, [(0, 1), (1, 3)])]
 
 
 def test_time_limit_and_cancel(spark):
