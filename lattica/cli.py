@@ -56,7 +56,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         engine = Engine(spark)
         for item in a.table:
             name, path = item.split("=", 1)
-            engine.catalog.register(name, ingest.read_parquet(spark, path))
+            engine.catalog.load(name, "parquet", path)
         engine.plan(a.statement).show(truncate=False)
 
 

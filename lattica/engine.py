@@ -11,7 +11,7 @@ from lattica.operators.flatten import flatten
 from lattica.operators.slices import Slice, apply_slice
 from lattica.plans.lower import lower, wrapping
 from lattica.plans.parser import parse
-from lattica.plans.tree import Select
+from lattica.plans.tree import Select, paths
 from lattica.sources.catalog import Catalog
 from lattica.streaming.control import Running, pages
 
@@ -32,7 +32,7 @@ class Engine:
         """The statement as a DataFrame; nothing runs."""
         tree = self._tree(statement)
         with wrapping(self.spark):
-            df = self.catalog.source(tree.source)
+            df = self.catalog.source(tree.source, paths(tree))
         return self._lowered(df, tree)
 
     sql = plan

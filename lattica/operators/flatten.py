@@ -30,6 +30,21 @@ def _replace(df: DataFrame, path: list[str], value: Column) -> DataFrame:
     return df.withColumn(path[0], inner)
 
 
+def pruned(schema: T.StructType, wanted: list[list[str]]) -> T.StructType:
+    """The schema without the fields that no wanted path leads to; of what is wanted as such, without fields, the first."""
+
+    def cut(t: T.DataType, paths: list[list[str]]) -> T.DataType:
+        if isinstance(t, T.ArrayType):
+            return T.ArrayType(cut(t.elementType, paths))
+        if not isinstance(t, T.StructType):
+            return t
+        names = {p[0] for p in paths if p}
+        kept = [f for f in t.fields if f.name in names] or t.fields[:1]
+        return T.StructType([T.StructField(f.name, cut(f.dataType, [p[1:] for p in paths if p and p[0] == f.name])) for f in kept])
+
+    return cut(schema, wanted)
+
+
 def flatten(df: DataFrame, path: Path) -> DataFrame:
     """Explode every `[*]` of the path, outer first; `a[i].b` becomes `a.b`. The path must end with `[*]`."""
     if path.steps[-1][1] != STAR:

@@ -93,6 +93,34 @@ class Select:
         return replace(self, **changes)
 
 
+def paths(s: Select) -> list[Path]:
+    """All paths that a statement reads, those of its source left out."""
+    out: list[Path] = []
+
+    def value(v: Value) -> None:
+        if isinstance(v, Path):
+            out.append(v)
+        elif isinstance(v, Call):
+            for a in v.args:
+                value(a)
+
+    def condition(c: Condition | None) -> None:
+        if isinstance(c, Compare):
+            value(c.left)
+            value(c.right)
+        elif isinstance(c, Not):
+            condition(c.item)
+        elif c is not None:
+            condition(c.left)
+            condition(c.right)
+
+    for v in (*s.values, *s.group, *(o.value for o in s.order)):
+        value(v)
+    condition(s.where)
+    condition(s.having)
+    return out
+
+
 def quote(value: int | float | str) -> str:
     """A literal as text that parses to it."""
     if isinstance(value, str):

@@ -154,6 +154,19 @@ def flatten_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(engine, "select items.l_returnflag, count() from flatten(t, items[*]) group by items.l_returnflag", "f n")
 
 
+@_query("SELECT o_orderkey AS o, CAST(l_linenumber AS BIGINT) AS n, l_quantity AS q FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE c_nationkey < 5")
+def flatten_two_level_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two levels of files, of which only the named fields are read."""
+    items = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").alias("qty"), "l_returnflag")).alias("items"))
+    orders = _read(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    nested = orders.groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_totalprice", "items")).alias("orders"))
+    path = scratch(spark, "nested")
+    _read(spark, sf_dir, "customer").join(nested, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_nationkey", "orders").write.parquet(path)
+    engine = Engine(spark)
+    engine.catalog.load("t", "parquet", path)
+    return _run(engine, "select orders.o_orderkey, orders.items.l_linenumber, orders.items.qty from flatten(t, orders[*].items[*]) where c_nationkey < 5", "o n q")
+
+
 def _deployed(spark: SparkSession, sf_dir: str, more: str = "") -> tuple[Engine, Deployment, Path]:
     """Regions with their nations, loaded by a descriptor; the descriptors' folder is the driver's."""
     nested = _read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("nations"))

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.errors import AccessError, ValidationError
-from lattica.operators.flatten import flatten
+from lattica.operators.flatten import flatten, pruned
 from lattica.plans.parser import parse
 from lattica.plans.tree import STRING, Path, Source
 from lattica.sources import ingest
@@ -23,6 +23,8 @@ class Catalog:
         self.spark, self.may_read, self.flat_mb = spark, may_read, flat_mb
         self._parts: dict[str, list[DataFrame]] = {}
         self._flat: dict[tuple[str, str], DataFrame] = {}
+        #: The files that a part is read from as they are, by the part.
+        self._files: dict[int, tuple[DataFrame, str | Sequence[str]]] = {}
 
     def register(self, name: str, df: DataFrame) -> None:
         """Make ``df`` the table ``name``. Fields must have value types, or be structs or arrays of such."""
@@ -37,10 +39,14 @@ class Catalog:
         self._parts.setdefault(name, []).append(df)
 
     def load(self, name: str, kind: str, path: str | Sequence[str], types: Mapping[str, str] | None = None, default_type: str = STRING) -> None:
-        self.add(name, ingest.read(self.spark, kind, path, types, default_type))
+        df = ingest.read(self.spark, kind, path, types, default_type)
+        self.add(name, df)
+        if kind == "parquet" and not types:
+            self._files[id(df)] = df, path
 
     def remove_part(self, name: str, df: DataFrame) -> None:
         self._parts[name] = [p for p in self._parts[name] if p is not df]
+        self._files.pop(id(df), None)
         self._forget_flat(name)
         if not self._parts[name]:
             del self._parts[name]
@@ -49,7 +55,8 @@ class Catalog:
         if name not in self._parts and not missing_ok:
             raise ValidationError(f"there is no table {name}")
         self._forget_flat(name)
-        self._parts.pop(name, None)
+        for p in self._parts.pop(name, []):
+            self._files.pop(id(p), None)
 
     def _forget_flat(self, name: str) -> None:
         for key in [k for k in self._flat if k[0] == name]:
@@ -81,13 +88,29 @@ class Catalog:
     def fields(self, name: str) -> list[Field]:
         return table_fields(self.table(name).schema)
 
-    def source(self, source: Source) -> DataFrame:
+    def _reduced(self, name: str, wanted: list[list[str]]) -> DataFrame:
+        """The table of which only the wanted fields are read, at any depth, where its parts are Parquet files.
+
+        Catalyst cuts nested fields through one explode only; a schema given to the reader cuts them all.
+        """
+        parts = []
+        for p in self._parts[name]:
+            known = self._files.get(id(p))
+            parts.append(self.spark.read.schema(pruned(p.schema, wanted)).parquet(*([known[1]] if isinstance(known[1], str) else known[1])) if known else p)
+        return parts[0] if len(parts) == 1 else ingest.united(parts)
+
+    def source(self, source: Source, wanted: list[Path] | None = None) -> DataFrame:
+        """The rows of a source; ``wanted``: the paths that are read of it."""
         df = self.table(source.table)
         if source.flatten is None:
             return df
         key = (source.table, str(source.flatten))
         if key not in self._flat:
-            return flatten(df, source.flatten)
+            flat = flatten(df, source.flatten)
+            if wanted is None or not any(id(p) in self._files for p in self._parts[source.table]):
+                return flat
+            names = [[name for name, _ in p.steps] for p in [*wanted, source.flatten]]
+            return flatten(self._reduced(source.table, names), source.flatten)
         self._flat[key] = found = self._flat.pop(key)  # the last used comes last
         return found
 

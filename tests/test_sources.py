@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 
 from lattica import cli
 from lattica.engine import Engine
-from lattica.errors import LoadError
+from lattica.errors import LoadError, ValidationError
 from lattica.operators.slices import Slice, slice_text, with_order
 from lattica.plans.parser import parse
 from lattica.plans.tree import quote, render
@@ -142,6 +143,24 @@ def test_filters_and_columns_reach_the_files_of_each_part(spark, tmp_path):
     assert "struct<a:int,b:bigint,c:array<struct<x:bigint>>>" in found and "struct<a:bigint,b:bigint,c:array<struct<x:bigint>>>" in found
 
 
+def test_two_level_flatten_reads_only_what_is_named(spark, tmp_path):
+    rows = [([(1, 9, [(5, "x", 0.5), (6, "y", 1.5)]), (2, 8, [(7, "z", 2.5)]), (3, 7, None)], "u")]
+    for k in range(2):
+        spark.createDataFrame(rows, "a array<struct<e:long,g:long,b:array<struct<c:long,s:string,d:double>>>>, w string").write.parquet(str(tmp_path / str(k)))
+    e = Engine(spark)
+    e.catalog.load("t", "parquet", str(tmp_path / "0"))
+    schema = lambda text: re.findall(r"ReadSchema: (\S+)", e.sql(text)._jdf.queryExecution().executedPlan().toString())
+    assert schema("select a.b.c, count() from flatten(t, a[*].b[*]) group by a.b.c") == ["struct<a:array<struct<b:array<struct<c:bigint>>>>>"]
+    assert schema("select a.e, a.b.d from flatten(t, a[*].b[*]) where a.b.s = 'x'") == ["struct<a:array<struct<e:bigint,b:array<struct<s:string,d:double>>>>>"]
+    assert sorted(tuple(r) for r in e.sql("select a.e, a.b.c from flatten(t, a[*].b[*])").collect()) == [(1, 5), (1, 6), (2, 7)]
+    assert sorted(tuple(r) for r in e.sql("select a.e, a.b[length] from flatten(t, a[*])").collect()) == [(1, 2), (2, 1), (3, 0)]
+    e.catalog.load("t", "parquet", str(tmp_path / "1"))
+    assert len(schema("select a.b.c, count() from flatten(t, a[*].b[*]) group by a.b.c")) == 2
+    assert sorted(tuple(r) for r in e.sql("select a.b.c, count() from flatten(t, a[*].b[*]) group by a.b.c").collect()) == [(5, 2), (6, 2), (7, 2)]
+    with pytest.raises(ValidationError, match="no column"):
+        e.sql("select a.q from flatten(t, a[*])")
+
+
 def test_files_of_bounded_size(spark, tmp_path):
     ingest.write(spark.range(20_000).coalesce(1), str(tmp_path / "w"), file_mb=0.05)
     assert len(list((tmp_path / "w").glob("*.parquet"))) > 3 and spark.read.parquet(str(tmp_path / "w")).count() == 20_000
