@@ -44,6 +44,8 @@ BANDS = 6
 ROWS, ENTRIES, KEPT_WORDS = 256, 400_000, 100_000
 #: Classes of a block in the product, about.
 TILE = 512
+#: Entries of a column block, about, and entries that wait in a task before they are sorted.
+BLOCK, HELD = 4_000_000, 4_000_000
 _MULTIPLY = (mix(np.arange(1, 65, dtype=U64)) | U64(1))
 PROFILE = "doc_id long, n_shingles long, class_a long, class_b long, bands array<long>"
 
@@ -214,34 +216,56 @@ def _prefixes(blocks: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each column block, the distinct entries of columns that two classes or more have."""
-    at: int | None = None
-    held: list[tuple[bytes, bytes]] = []
+class _Block:
+    """The entries of one column block, of which only those of columns that one class has so far are held.
+
+    What comes from a column that two classes or more have goes out as it comes, so a column that all classes have
+    costs its hash. An entry that is given again after it went out goes out again.
+    """
 
-    def out() -> Iterator[pa.RecordBatch]:
-        h = np.concatenate([np.frombuffer(x, U64) for x, _ in held])
-        c = np.concatenate([np.frombuffer(x, np.int64) for _, x in held])
+    def __init__(self) -> None:
+        self.wait: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+        self.held = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.known = np.zeros(0, U64)
+
+    def add(self, h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.wait.append((h, c))
+        self.waiting += len(h)
+        if self.waiting >= HELD:
+            yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        h, c = (np.concatenate([self.held[k], *(x[k] for x in self.wait)]) for k in (0, 1))
+        self.wait, self.waiting = [], 0
         order = np.lexsort((c, h))
         h, c = h[order], c[order]
-        first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+        first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])[: len(h)]
         h, c = h[first], c[first]
-        twice = np.concatenate([[False], h[1:] == h[:-1]])
-        twice[:-1] |= h[1:] == h[:-1]
+        twice = np.zeros(len(h), dtype=bool)
+        twice[1:] = h[1:] == h[:-1]
+        twice[:-1] |= twice[1:]
+        if len(self.known):
+            twice |= self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h
+        self.held = h[~twice], c[~twice]
         h, c = h[twice], c[twice]
+        self.known = np.union1d(self.known, h)
         for i in range(0, len(h), 100_000):
             yield pa.RecordBatch.from_pydict({"column": pa.array(h[i : i + 100_000].view(np.int64)), "class_a": pa.array(c[i : i + 100_000])})
 
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each column block, the entries of columns that two classes or more have."""
+    at: int | None = None
+    own = _Block()
     for batch in batches:
         for block, h, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if block != at and held:
-                yield from out()
-                held = []
-            at = block
-            held.append((h, c))
-    if held:
-        yield from out()
-        held.clear()
+            if block != at:
+                yield from own.out()
+                at, own = block, _Block()
+            yield from own.add(np.frombuffer(h, U64), np.frombuffer(c, np.int64))
+    yield from own.out()
+    del own
     give_back()
 
 
@@ -294,7 +318,10 @@ def _between(docs: DataFrame, classes: DataFrame) -> DataFrame:
     n = parallelism(spark)
     packed, entry = "block long, columns binary, classes binary", "column long, class_a long"
     meet = lambda rows: rows.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_shared, entry)
-    first = stage(meet(docs.select("text").mapInArrow(_prefixes(4 * n), packed)), "entries")
+    # an entry of the prefixes may come from each copy of a class, an entry of all comes once
+    blocks = lambda entries: max(4 * n, -(-int(entries or 0) // BLOCK))
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + F.greatest(F.lit(1), F.floor(F.col("n") / 4))
+    first = stage(meet(docs.select("text").mapInArrow(_prefixes(blocks(classes.agg(F.sum(prefix * F.col("rows"))).first()[0])), packed)), "entries")
     # a partner of the least size has the least quarter overlap
     some = F.col("count") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / 4))
     alive = stage(classes.join(_across(first, classes).groupBy("rep", "n").count().where(some).select("rep"), "rep"), "alive")
@@ -302,7 +329,7 @@ def _between(docs: DataFrame, classes: DataFrame) -> DataFrame:
     ids = bounded_broadcast(alive.select(F.col("rep").alias("doc_id"), "class_a"), alive.count())
     texts = _rows(docs).where(F.col("doc_id").isNotNull()).join(ids, "doc_id").select("class_a", "text")
     texts = texts.mapInArrow(_own, "class_a long, text string").dropDuplicates(["class_a"])
-    every = stage(meet(texts.mapInArrow(_entire(4 * n), packed)), "entries")
+    every = stage(meet(texts.mapInArrow(_entire(blocks(alive.agg(F.sum("n")).first()[0])), packed)), "entries")
     least = F.ceil(F.col("n") * PERCENT / 100)
     for again in (False, True):  # classes that are out may leave columns to one component
         last = [alive, shared] if again else [alive]
@@ -317,12 +344,22 @@ def _between(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # classes that share a rare column, directly or by others, meet in tiles
     ends = kept.groupBy("column").agg(F.min("rep").alias("y"), F.count("*").alias("k")).where("k > 1").select("column", "y")
     meeting = stage(components(kept.join(ends, "column").select(F.col("rep").alias("x"), "y")), "meeting")
-    sizes = meeting.groupBy("root").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
-    rows = shared.join(meeting.withColumnRenamed("node", "rep"), "rep").groupBy("root", "rep", "n", "component").agg(F.collect_list("column").alias("columns"))
-    rows = rows.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    # block i meets the blocks j >= i: it stands on the left of (i, j) and on the right of (j, i)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    tiles = rows.withColumn("other", other).select(
+    # blocks hold classes of like size: linked ones differ by a step at most
+    step = F.floor(F.log("n") / float(np.log(100 / PERCENT)) + 1e-9).cast("long").alias("step")
+    members = meeting.withColumnRenamed("node", "rep").join(alive.select("rep", "n", "component"), "rep").select("root", "rep", "n", "component", step)
+    sizes = members.groupBy("root", "step").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    near = [sizes.select("root", (F.col("step") - d).alias("step"), F.col("blocks").alias(name)) for d, name in ((-1, "below"), (0, "own"), (1, "above"))]
+    for x in near:
+        members = members.join(x, ["root", "step"], "left")
+    number = lambda step, place: F.shiftleft(step, 32) + place
+    upto = lambda name: F.when(F.col(name).isNull(), F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    members = members.withColumn("block", number(F.col("step"), F.pmod(F.xxhash64("rep"), F.col("own"))))
+    # a block meets those of its own step and of the steps beside it, and stands on the side of its number
+    numbered = lambda name, step: F.transform(upto(name), lambda x: number(step, x))
+    others = F.concat(*[numbered(name, F.col("step") + d) for d, name in ((-1, "below"), (0, "own"), (1, "above"))])
+    members = members.select("root", "rep", "n", "component", "block", others.alias("others"))
+    columns = shared.join(members.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.collect_list("column").alias("columns"))
+    tiles = columns.join(members, "rep").withColumn("other", F.explode("others")).select(
         "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n", "component", "columns"
     )
     out = stage(tiles.groupBy("root", "low", "high").applyInArrow(_tile, "x long, y long"), "links")
@@ -407,7 +444,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     profile = stage(_rows(docs).mapInArrow(_profile, PROFILE), "profile")
     full = profile.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = full.groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+    classes = full.groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.count("*").alias("rows"))
     classes = stage(classes, "classes")
     stars = _stars(classes)
     known = stage(verify(docs, stars), "links")
@@ -417,7 +454,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     rep_of = full.join(several, "doc_id").join(classes.select("class_a", "class_b", "rep"), ["class_a", "class_b"])
     edges = known.unionByName(rep_of.select(F.col("doc_id").alias("x"), F.col("rep").alias("y")))
     roots = stage(components(edges), "roots")
-    of = lambda roots: classes.join(roots, F.col("rep") == F.col("node"), "left").select("class_a", "class_b", "rep", "n", F.coalesce("root", "rep").alias("component"))
+    of = lambda roots: classes.join(roots, F.col("rep") == F.col("node"), "left").select("class_a", "class_b", "rep", "n", "rows", F.coalesce("root", "rep").alias("component"))
     now = stage(of(roots), "components")
     more = _between(docs, now)
     final = now

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattica.llm import ngram_join as nj
@@ -155,3 +157,17 @@ def test_links_of_an_id_with_several_texts(spark, words, monkeypatch):
         rows += [(10 * k, " ".join(a)), (10 * k, " ".join(b)), (10 * k + 1, " ".join([*a[:-1], "x"])), (10 * k + 2, " ".join([*b[:-1], "y"]))]
     assert found(spark, rows, 1) == brute(rows)
     assert found(spark, rows[::-1], 1) == brute(rows)
+
+
+def test_entries_of_a_block_in_parts(monkeypatch):
+    """Whatever waits in a task, each entry of a column of two classes or more comes out, and no other."""
+    rng = random.Random(12)
+    entries = sorted({(rng.randrange(200), rng.randrange(40)) for _ in range(400)} | {(7, c) for c in range(40)})
+    rng.shuffle(entries)
+    want = sorted((h, c) for h, c in entries if sum(x == h for x, _ in entries) > 1)
+    for held in (1, 5, 10**6):
+        monkeypatch.setattr(nj, "HELD", held)
+        parts = [entries[i : i + 3] for i in range(0, len(entries), 3)]
+        batch = pa.RecordBatch.from_pydict({"block": [0] * len(parts), "columns": [np.array([h for h, _ in p], np.uint64).tobytes() for p in parts], "classes": [np.array([c for _, c in p], np.int64).tobytes() for p in parts]})
+        found = [x for b in nj._shared(iter([batch])) for x in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True)]
+        assert sorted(found) == want
