@@ -36,8 +36,8 @@ from lattica.llm.common import U64, mix, parallelism, starts_of
 MIN_WORDS = 20
 #: A shared passage of so many whole words or more is always found.
 SHARED = 51
-#: Documents of a group, on average.
-GROUP = 512
+#: Documents of a group, on average; bytes of a chunk, on average; chunks of a block, about.
+GROUP, MEAN, BLOCK = 512, 32, 2_000_000
 #: The gear table: 16 random bits for each byte, from a fixed rule.
 GEAR = (mix(np.arange(1, 257, dtype=U64)) & U64(0xFFFF)).astype(np.uint16)
 TOP = np.uint16(11)
@@ -259,23 +259,24 @@ def _marked(texts: pa.Table, answers: pa.Table, min_words: int) -> Iterator[tupl
         yield r, found
 
 
-def _grouped(docs: DataFrame, columns: list[str]) -> DataFrame:
-    groups = max(1, -(-docs.count() // GROUP))
+def _grouped(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """The documents by group, and how many blocks their digests need."""
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    groups, blocks = max(1, -(-size["rows"] // GROUP)), max(4 * parallelism(docs.sparkSession), -(-(size["bytes"] or 0) // (MEAN * BLOCK)))
     group = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).alias("doc_group")
     rows = docs.select(group, F.col("doc_id").cast("long").alias("doc_id"), "text", *columns)
-    return rows.repartition(max(parallelism(docs.sparkSession), 1), "doc_group")
+    return rows.repartition(max(parallelism(docs.sparkSession), 1), "doc_group"), blocks
 
 
-def _answers(rows: DataFrame, min_words: int) -> DataFrame:
-    spark = rows.sparkSession
-    n = parallelism(spark)
-    asked = rows.select("doc_group", "doc_id", "text", F.lit(0).alias("row")).groupBy("doc_group").applyInArrow(_ask(4 * n, min_words), "block long, asker long, entries binary")
+def _answers(rows: DataFrame, blocks: int, min_words: int) -> DataFrame:
+    n = parallelism(rows.sparkSession)
+    asked = rows.select("doc_group", "doc_id", "text", F.lit(0).alias("row")).groupBy("doc_group").applyInArrow(_ask(blocks, min_words), "block long, asker long, entries binary")
     return asked.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_answer, "doc_group long, entries binary")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per removed run: doc_id, start, length (code points), n_words, first_doc_id (who keeps it), passage."""
-    rows = _grouped(docs, [])
+    rows, blocks = _grouped(docs, [])
 
     def run(key, texts, answers):
         out = []
@@ -287,14 +288,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(names)})
 
     texts = rows.select("doc_group", "doc_id", "text", F.lit(0).alias("row")).groupBy("doc_group")
-    return texts.cogroup(_answers(rows, min_words).groupBy("doc_group")).applyInArrow(run, "doc_id long, start long, length long, n_words long, first_doc_id long, passage string")
+    return texts.cogroup(_answers(rows, blocks, min_words).groupBy("doc_group")).applyInArrow(run, "doc_id long, start long, length long, n_words long, first_doc_id long, passage string")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without their repeated runs, with all columns; n_chars, where there is one, is counted again."""
     others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     rest = F.struct(*[F.col(f.name) for f in others]) if others else F.struct(F.lit(0).alias("none"))
-    rows = _grouped(docs.select("doc_id", "text", rest.alias("lattica_rest")), ["lattica_rest"])
+    rows, blocks = _grouped(docs.select("doc_id", "text", rest.alias("lattica_rest")), ["lattica_rest"])
     asked = rows.select("doc_group", "doc_id", "text")
     kind = rows.schema["lattica_rest"].dataType.simpleString()
 
@@ -313,7 +314,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pa.table({"doc_id": out.column("doc_id"), "text": pa.array([o if k is None else k for o, k in zip(old, kept, strict=True)], pa.string()), "lattica_rest": out.column("lattica_rest")})
 
     texts = rows.select("doc_group", "doc_id", "text", "lattica_rest").groupBy("doc_group")
-    out = texts.cogroup(_answers(asked, min_words).groupBy("doc_group")).applyInArrow(run, f"doc_id long, text string, lattica_rest {kind}")
+    out = texts.cogroup(_answers(asked, blocks, min_words).groupBy("doc_group")).applyInArrow(run, f"doc_id long, text string, lattica_rest {kind}")
     columns = {f.name: F.col("lattica_rest").getField(f.name) for f in others} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
