@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import U64, crc_fold, give_back, mix, stage, texts_of, unstage
+from lattica.llm.common import U64, bounded_broadcast, crc_fold, give_back, mix, stage, texts_of, unstage
 
 FOLDS, HELD = 3, 1
 PER_LANGUAGE, MAX_TEXTS, CENTROIDS = 400, 6000, 4
@@ -163,7 +163,7 @@ def pick(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     share = {lang: min(1.0, (most + 8 * most**0.5 + 20) / n) for lang, n in sizes.items()}
     while True:
         bounds = rows.sparkSession.createDataFrame([(lang, min(2**63 - 1, int(-(2**63) + s * 2**64))) for lang, s in share.items()], "lang string, most long")
-        near = rows.join(bounds, "lang").where(F.col("h") <= F.col("most")).select("lang", "doc_id", "h").distinct()
+        near = rows.join(bounded_broadcast(bounds, len(share)), "lang").where(F.col("h") <= F.col("most")).select("lang", "doc_id", "h").distinct()
         there = {r["lang"]: r["n"] for r in near.groupBy("lang").agg(F.count("*").alias("n")).collect()}
         few = [lang for lang, s in share.items() if s < 1 and there.get(lang, 0) < most]
         if not few:

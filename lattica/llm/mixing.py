@@ -129,14 +129,14 @@ def _plan(seeded: DataFrame) -> DataFrame:
     for s, size in sizes.items():
         whole = int(targets[s] // size) if size else 0
         rows.append((s, size, targets[s], whole, targets[s] - whole * size))
-    plan = spark.createDataFrame(rows, PLAN)
+    plan = bounded_broadcast(spark.createDataFrame(rows, PLAN), len(rows))
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     run = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
     # the last bin that begins before the rest is used up holds the cut
     last = run.where(F.col("before") < F.col("rest")).groupBy("plan_source").agg(F.max(F.struct("bin", "before")).alias("l"))
     known = {r["plan_source"]: (r["l"]["bin"], r["l"]["before"]) for r in last.collect()}
     full = [(*r, *known.get(r[0], (-1, 0))) for r in rows]
-    plan = spark.createDataFrame(full, PLAN + ", edge_bin long, edge_before long")
+    plan = bounded_broadcast(spark.createDataFrame(full, PLAN + ", edge_bin long, edge_before long"), len(full))
     inside = seeded.select(*SAME, "number", "bin", "hash").join(plan, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("bin") == F.col("edge_bin")))
     order = Window.partitionBy("source").orderBy(_key()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = inside.withColumn("upto", F.sum("size").over(order) + F.col("edge_before"))
@@ -144,7 +144,7 @@ def _plan(seeded: DataFrame) -> DataFrame:
     keys = {r["plan_source"]: tuple(r["edge_key"]) for r in taken.collect()}
     out = [(*r, *keys.get(r[0], (None, None, None, None))) for r in full]
     unstage(sums)
-    return spark.createDataFrame(out, PLAN + ", edge_bin long, edge_before long, edge_h long, edge_i long, edge_t long, edge_n long")
+    return bounded_broadcast(spark.createDataFrame(out, PLAN + ", edge_bin long, edge_before long, edge_h long, edge_i long, edge_t long, edge_n long"), len(out))
 
 
 def _times(seeded: DataFrame, plan: DataFrame) -> DataFrame:
