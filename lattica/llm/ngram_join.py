@@ -477,7 +477,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = stage(link_documents(docs), "linked")
     again = stage(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = found.where("doc_id is null or component_id = doc_id").select("doc_id").distinct()
+    kept = stage(found.where("doc_id is null or component_id = doc_id").select("doc_id").distinct(), "kept")
+    kept = bounded_broadcast(kept, kept.count())  # the texts are shuffled only where there are many ids
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("document"), F.col("doc_id").cast("long").alias("id"))
     out = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
     if again.isEmpty():
