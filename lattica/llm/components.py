@@ -34,12 +34,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge to another: the root is the least node of its component.
 
     ``edges``: columns x, y of one integer type, in any order, with repeats or loops. The rounds are logarithmic in
-    the longest path; each is written to the shared folder, and only whether it is done comes to the driver.
+    the longest path; each half of one is written to the shared folder, so that no plan grows with a round, and only
+    whether it is done comes to the driver.
     """
     e = edges.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     e = stage(e.distinct(), "edges")
     while not _stars(e):
-        last = e
-        e = stage(_small(_large(e).distinct()).distinct(), "edges")
+        last, e = e, stage(_large(e).distinct(), "edges")
+        unstage(last)
+        last, e = e, stage(_small(e).distinct(), "edges")
         unstage(last)
     return e.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(e.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())

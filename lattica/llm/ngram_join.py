@@ -347,7 +347,9 @@ def _between(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # blocks hold classes of like size: linked ones differ by a step at most
     step = F.floor(F.log("n") / float(np.log(100 / PERCENT)) + 1e-9).cast("long").alias("step")
     members = meeting.withColumnRenamed("node", "rep").join(alive.select("rep", "n", "component"), "rep").select("root", "rep", "n", "component", step)
-    sizes = members.groupBy("root", "step").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    # both are read several times below; the driver plans anew after every shuffle, so a plan that holds each once a use costs it memory
+    met = members = stage(members, "members")
+    sizes = stage(members.groupBy("root", "step").agg(F.ceil(F.count("*") / TILE).alias("blocks")), "sizes")
     near = [sizes.select("root", (F.col("step") - d).alias("step"), F.col("blocks").alias(name)) for d, name in ((-1, "below"), (0, "own"), (1, "above"))]
     for x in near:
         members = members.join(x, ["root", "step"], "left")
@@ -358,12 +360,12 @@ def _between(docs: DataFrame, classes: DataFrame) -> DataFrame:
     numbered = lambda name, step: F.transform(upto(name), lambda x: number(step, x))
     others = F.concat(*[numbered(name, F.col("step") + d) for d, name in ((-1, "below"), (0, "own"), (1, "above"))])
     members = members.select("root", "rep", "n", "component", "block", others.alias("others"))
-    columns = shared.join(members.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.collect_list("column").alias("columns"))
+    columns = shared.join(met.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.collect_list("column").alias("columns"))
     tiles = columns.join(members, "rep").withColumn("other", F.explode("others")).select(
         "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n", "component", "columns"
     )
     out = stage(tiles.groupBy("root", "low", "high").applyInArrow(_tile, "x long, y long"), "links")
-    unstage(shared, alive, kept, meeting)
+    unstage(shared, alive, kept, meeting, met, sizes)
     return out
 
 

@@ -171,3 +171,17 @@ def test_entries_of_a_block_in_parts(monkeypatch):
         batch = pa.RecordBatch.from_pydict({"block": [0] * len(parts), "columns": [np.array([h for h, _ in p], np.uint64).tobytes() for p in parts], "classes": [np.array([c for _, c in p], np.int64).tobytes() for p in parts]})
         found = [x for b in nj._shared(iter([batch])) for x in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True)]
         assert sorted(found) == want
+
+
+def test_plans_stay_small(spark, odd, odd_rows, monkeypatch):
+    """No table that is written is planned from more than some 50 operators: the driver plans anew after each shuffle."""
+    operators, stage = {}, nj.stage
+
+    def counted(df, name):
+        operators[name] = max(operators.get(name, 0), df._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        return stage(df, name)
+
+    for module in ("ngram_join", "components"):
+        monkeypatch.setattr(f"lattica.llm.{module}.stage", counted)
+    assert sorted([tuple(r) for r in nj.link_documents(odd).collect()], key=str) == brute(odd_rows)
+    assert {"edges", "links"} <= set(operators) and max(operators.values()) <= 50, operators
