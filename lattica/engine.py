@@ -19,9 +19,9 @@ from lattica.streaming.control import Running, pages
 class Engine:
     """Runs statements.
 
-    ``exact_quantiles``: quantile and qvc exactly with interpolation, at the cost of state that grows with the
-    distinct values of a group; otherwise within 1 / 10000 of the rank. ``sql_having``: HAVING before ORDER and LIMIT.
-    ``may_read``: asked for each table that a statement names.
+    ``exact_quantiles``: quantile and qvc with interpolation, at the cost of state that grows with the distinct values
+    of a group; otherwise over rows by the values of the quantile's rank, at the cost of a second pass over the rows.
+    ``sql_having``: HAVING before ORDER and LIMIT. ``may_read``: asked for each table that a statement names.
     """
 
     def __init__(self, spark: SparkSession, exact_quantiles: bool = False, sql_having: bool = False, may_read: Callable[[str], bool] | None = None, timeout: float = 600.0):

@@ -28,6 +28,8 @@ class Aggregate:
     #: (constants, input, exact) to the aggregate over rows, and over an array; None where there is no such form.
     rows: Callable[[list, Column | None, bool], Column]
     array: Callable[[list, Column, bool], Column] | None
+    #: Over rows unless exact: (constants, quantile to its value of the group) to the result.
+    discrete: Callable[[list, Callable[[float], Column]], Column] | None = None
 
 
 def _empty(array: Column, name: str) -> Column:
@@ -63,9 +65,9 @@ def _array_quantile(a: Column, q: float) -> Column:
     return F.when(F.size(a) == 0, F.lit(-1.0)).otherwise(below + (above - below) * (place - low))
 
 
-def _row_quantile(x: Column, q: float, exact: bool) -> Column:
-    """Exact with interpolation, or, so that a group's state is bounded, within 1 / 10000 of the rank."""
-    found = F.percentile(x, F.lit(float(q))) if exact else F.percentile_approx(x, F.lit(float(q)), F.lit(10_000)).cast("double")
+def _row_quantile(x: Column, q: float) -> Column:
+    """With interpolation; the state grows with the distinct values of a group."""
+    found = F.percentile(x, F.lit(float(q)))
     return F.when(F.isnan(found), F.lit(-1.0)).otherwise(found)
 
 
@@ -88,8 +90,8 @@ def _numeric(t: str) -> dict[str, Aggregate]:
         "var": Aggregate((), t, DOUBLE, lambda c, x, e: F.var_pop(x), lambda c, a, e: _empty(a, "var").otherwise(_array_var(a))),
         "sd": Aggregate((), t, DOUBLE, lambda c, x, e: F.stddev_pop(x), lambda c, a, e: _empty(a, "sd").otherwise(F.sqrt(_array_var(a)))),
         "rsd": Aggregate((), t, DOUBLE, lambda c, x, e: divide(F.stddev_pop(x), F.avg(x)), lambda c, a, e: _empty(a, "rsd").otherwise(divide(F.sqrt(_array_var(a)), _array_avg(a)))),
-        "quantile": Aggregate((DOUBLE,), t, DOUBLE, lambda c, x, e: _row_quantile(x, c[0], e), lambda c, a, e: _array_quantile(a, c[0])),
-        "qvc": Aggregate((), t, DOUBLE, lambda c, x, e: _spread(_row_quantile(x, 0.25, e), _row_quantile(x, 0.75, e)), lambda c, a, e: F.when(F.size(a) == 0, F.lit(-1.0)).otherwise(_spread(_array_quantile(a, 0.25), _array_quantile(a, 0.75)))),
+        "quantile": Aggregate((DOUBLE,), t, DOUBLE, lambda c, x, e: _row_quantile(x, c[0]), lambda c, a, e: _array_quantile(a, c[0]), lambda c, at: at(c[0])),
+        "qvc": Aggregate((), t, DOUBLE, lambda c, x, e: _spread(_row_quantile(x, 0.25), _row_quantile(x, 0.75)), lambda c, a, e: F.when(F.size(a) == 0, F.lit(-1.0)).otherwise(_spread(_array_quantile(a, 0.25), _array_quantile(a, 0.75))), lambda c, at: _spread(at(0.25), at(0.75))),
     }
 
 

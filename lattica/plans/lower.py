@@ -14,6 +14,7 @@ from threading import RLock
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators.ranks import Ranks
 from lattica.plans.analyzer import AnalysedCondition, Analysed, Node, analyse
 from lattica.plans.tree import Select
 from lattica.sources.schema import DEFAULT, SPARK_TYPE
@@ -62,7 +63,7 @@ class _Grouped:
 
     def __init__(self, a: Analysed, exact: bool):
         self.keys = {n.key: f"k{i}" for i, n in enumerate(a.group)}
-        self.exact, self.out, self.columns = exact, {}, []
+        self.exact, self.out, self.columns, self.ranks = exact, {}, [], Ranks()
 
     def _put(self, key: str, column: Column) -> Column:
         if key not in self.out:
@@ -70,9 +71,15 @@ class _Grouped:
             self.columns.append(column.alias(self.out[key]))
         return F.col(self.out[key])
 
+    def _quantile(self, n: Node, q: float) -> Column:
+        key = f"rank({q!r},{n.key})"
+        return F.col(self.out[key]) if key in self.out else self._put(key, self.ranks.find(n.key, n.build({}), q))
+
     def value(self, n: Node) -> Column:
         if n.key in self.keys:
             return F.col(self.keys[n.key])
+        if n.is_row_aggregate and n.aggregate.discrete and not self.exact:
+            return n.aggregate.discrete(list(n.constants), lambda q: self._quantile(n.args[0], q))
         if n.is_row_aggregate:
             return self._put(n.key, n.aggregate.rows(list(n.constants), n.args[0].build({}) if n.args else None, self.exact))
         if n.constant:
@@ -93,7 +100,9 @@ def lower(df: DataFrame, s: Select, exact_quantiles: bool = False, sql_having: b
             of = g.value
             values, order = [of(n) for n in a.values], [(of(n), up) for n, up in a.order]
             having = _condition(a.having, lambda op, x, y: _TEST[op](of(x), of(y))) if a.having else None
-            keys = [n.build({}).alias(g.keys[n.key]) for n in {n.key: n for n in a.group}.values()]
+            group = {n.key: n.build({}) for n in a.group}
+            keys = [c.alias(g.keys[key]) for key, c in group.items()]
+            df = g.ranks.bounded(df, list(group.values()))
             df = df.groupBy(*keys).agg(*g.columns) if g.columns else df.select(*keys).distinct()
         else:
             of, having = (lambda n: n.build({})), None

@@ -281,7 +281,7 @@ def slice_and_order_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT l_linenumber::BIGINT AS n, quantile_disc(l_suppkey, 0.5) AS m FROM lineitem GROUP BY 1")
 def quantile_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantiles in their default form, within 1 / 10000 of the rank: exact for as few values as here."""
+    """Quantiles in their default form: the values of the rank itself."""
     engine = Engine(spark)
     engine.catalog.register("lineitem", _read(spark, sf_dir, "lineitem"))
     return _run(engine, "select l_linenumber, long(string(round(quantile(0.5, l_suppkey)))) from lineitem group by l_linenumber", "n m")
