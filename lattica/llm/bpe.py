@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import give_back, starts_of, texts_of
+from lattica.llm.common import give_back, small_batches, starts_of, texts_of
 
 #: Bits of a position below the rank in a leaf, and the leaf of no pair.
 PLACE, NONE = 8, np.int32(2**31 - 1)
@@ -451,6 +451,7 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False, decoded: boo
 
     Every worker reads the vocabulary from ``path``, which is installed wherever Python is, and streams its rows.
     """
+    small_batches(docs.sparkSession)
     columns = SCHEMA + ", ids array<int>" * ids + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of bytes outside these (the ASCII white space of ``bytes.split``).
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
+#: Bytes of texts that a worker gets at once, about (a longer text comes alone), and rows that a Parquet scan decodes at once.
+BATCH_BYTES, SCAN_ROWS = 2 << 20, 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,15 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataF
     return F.broadcast(df) if rows <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what is passed of long texts at once, in this session from now on; by Spark's defaults a batch is a whole task.
+
+    Of a batch the JVM and the worker hold several copies, beside a heap that is full size already.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id falls in no held-out fold (-1)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))

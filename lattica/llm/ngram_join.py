@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import U64, bounded_broadcast, give_back, mix, parallelism, stage, starts_of, texts_of, unstage
+from lattica.llm.common import U64, bounded_broadcast, give_back, mix, parallelism, small_batches, stage, starts_of, texts_of, unstage
 from lattica.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -444,6 +444,7 @@ def _stars(classes: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    small_batches(docs.sparkSession)
     profile = stage(_rows(docs).mapInArrow(_profile, PROFILE), "profile")
     full = profile.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = full.groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.count("*").alias("rows"))

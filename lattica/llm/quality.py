@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import crc_fold, stage
+from lattica.llm.common import crc_fold, small_batches, stage
 
 #: Labelled rows that the model is fitted on at most, chosen by a hash of the id.
 MAX_LABELLED = 20_000
@@ -223,6 +223,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
 
     The statistics are made once a row, in a projection of their own, and the rules read them by name.
     """
+    small_batches(docs.sparkSession)
     picked = pick(labels)
     few = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(picked.select(F.col("doc_id").alias("picked_id")), F.col("doc_id").cast("long") == F.col("picked_id"), "left_semi")
     model = learn(with_statistics(few), picked)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import U64, mix, parallelism, starts_of
+from lattica.llm.common import U64, mix, parallelism, small_batches, starts_of
 
 #: Words that a run must hold to be removed.
 MIN_WORDS = 20
@@ -261,6 +261,7 @@ def _marked(texts: pa.Table, answers: pa.Table, min_words: int) -> Iterator[tupl
 
 def _grouped(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
     """The documents by group, and how many blocks their digests need."""
+    small_batches(docs.sparkSession)
     size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
     groups, blocks = max(1, -(-size["rows"] // GROUP)), max(4 * parallelism(docs.sparkSession), -(-(size["bytes"] or 0) // (MEAN * BLOCK)))
     group = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).alias("doc_group")

@@ -4,6 +4,7 @@ import math
 
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -98,3 +99,16 @@ def test_only_repeated_passages_go(spark, stages):
         for start, length in sorted(cuts.get(r["doc_id"], []), reverse=True):
             text = text[:start] + text[start + length :]
         assert after[r["doc_id"]] == text
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_workers_get_texts_in_small_batches(spark, none, k):
+    """An executor holds several copies of a batch; by the default of 64 MB a task's texts are one."""
+    from lattica.llm.common import BATCH_BYTES
+
+    for name in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        spark.conf.unset(name)
+    corpus_pipeline.STAGES[k][1](spark, none, DATA)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+    assert sum(r["n"] for r in sizes) == 3000 and max(r["size"] for r in sizes) <= 2 * BATCH_BYTES
